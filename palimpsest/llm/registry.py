@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from palimpsest.llm import exact_dedup, mixing
+from palimpsest.llm import bpe, exact_dedup, mixing, token_files
 
 MODULES = {
     "op2_mix_sources": mixing,
+    "op3_bpe": bpe,
+    "op7_token_files": token_files,
     "op10_exact_dedup": exact_dedup,
 }
 
