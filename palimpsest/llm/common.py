@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: One word: a run of anything but ASCII space, tab, line feed, vertical tab, form feed, carriage return.
@@ -26,3 +27,31 @@ def held_out(doc_id: str | Column) -> Column:
     """The fold that no model is fitted on: crc32 of the id as text leaves 2 when divided by 4; null ids are in it never."""
     c = F.col(doc_id) if isinstance(doc_id, str) else doc_id
     return F.coalesce(F.crc32(c.cast("string").cast("binary")) % 4 == 2, F.lit(False))
+
+
+#: Ranges of ids that `following` cuts a table into, at most.
+MOST_RANGES = 1024
+
+
+def following(df: DataFrame, id_col: str, carry: list[str], ranges: int | None = None) -> DataFrame:
+    """`df` with next_<c> for each c of `carry`: its value in the next row by ascending id, after the last in the first.
+
+    One shuffle by ranges of ids, whose bounds are sampled quantiles; the rows with the lowest id of a range go to the
+    range before it as well, where they only end the window. Null ids come first; equal ids are ordered by `carry`.
+    """
+    spark = df.sparkSession
+    ranges = ranges or min(MOST_RANGES, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    own = F.col(id_col)
+    bounds = df.agg(F.percentile_approx(id_col, [i / ranges for i in range(1, ranges)], 20 * ranges).alias("b")).first()["b"]
+    cuts = F.array(*(F.lit(b) for b in sorted(set(bounds or [])))).cast("array<bigint>")
+    part = F.when(own.isNull(), 0).otherwise(F.size(F.filter(cuts, lambda b: b < own)) + 1)
+    lowest = df.groupBy(part.alias("part")).agg(F.min(id_col).alias("low")).orderBy("part").collect()  # a row for each range
+    before = {low: lowest[k - 1]["part"] for k, (_, low) in enumerate(lowest)}  # before the first comes the last
+    known = F.create_map(*(F.lit(x) for low, to in before.items() if low is not None for x in (low, to))).cast("map<bigint,int>")
+    also = F.when(own.isNull(), F.lit(before.get(None)).cast("int")).otherwise(known[own.cast("long")])
+    n = {x: fresh(df, x) for x in ("part", "copy")}
+    rows = df.withColumn(n["part"], F.explode(F.filter(F.array(F.struct(part.alias("p"), F.lit(0).alias("copy")), F.struct(also.alias("p"), F.lit(1).alias("copy"))), lambda x: x["p"].isNotNull())))
+    rows = rows.withColumns({n["copy"]: F.col(n["part"])["copy"], n["part"]: F.col(n["part"])["p"]})
+    order = W.partitionBy(n["part"]).orderBy(n["copy"], own.asc_nulls_first(), *carry)
+    rows = rows.withColumns({f"next_{c}": F.lead(c).over(order) for c in carry})
+    return rows.filter(F.col(n["copy"]) == 0).drop(n["part"], n["copy"])

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from palimpsest.llm import bpe, exact_dedup, mixing, token_files
+from palimpsest.llm import bpe, exact_dedup, fingerprints, mixing, quality, secrets, token_files
 
 MODULES = {
+    "op1_quality": quality,
     "op2_mix_sources": mixing,
     "op3_bpe": bpe,
+    "op5_fingerprints": fingerprints,
+    "op6_secrets": secrets,
     "op7_token_files": token_files,
     "op10_exact_dedup": exact_dedup,
 }
