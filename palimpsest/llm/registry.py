@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from palimpsest.llm import bpe, exact_dedup, fingerprints, mixing, quality, secrets, token_files
+from palimpsest.llm import bpe, exact_dedup, fingerprints, mixing, near_dedup, quality, secrets, token_files
 
 MODULES = {
     "op1_quality": quality,
@@ -11,6 +11,7 @@ MODULES = {
     "op5_fingerprints": fingerprints,
     "op6_secrets": secrets,
     "op7_token_files": token_files,
+    "op8_near_dedup": near_dedup,
     "op10_exact_dedup": exact_dedup,
 }
 
