@@ -1,7 +1,8 @@
 """Token ids as length-delimited binary records, in shards with a separate offset index.
 
 Record: length of data (8 bytes), masked CRC-32 of those 8 bytes, data, masked CRC-32 of data; all little-endian.
-Data: 1 byte (0: the id is null), the document's id (8 bytes, signed), its token ids (4 bytes each, unsigned).
+Data: 1 byte (bit 0: the id is not null; the rest: bytes of a token id), the document's id (8 bytes, signed), its token
+ids (unsigned, 2 bytes each if the vocabulary's largest fits, else 4).
 Index: for each record 16 bytes, the offset of its record and the number of ids before it in the shard.
 The mask turns a CRC right by 15 bits and adds 0xA282EAD8, so that a checksum of data that hold checksums stays sound.
 
@@ -23,6 +24,7 @@ from collections.abc import Iterator
 from functools import partial
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -55,6 +57,10 @@ class WordEncoder:
         self.ends = {i for token, i in self.whole.get_vocab(False).items() if token.endswith("</w>")}
         self.added = [t.content for t in self.whole.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes] = {}
+        self.width = 2 if max(self.whole.get_vocab(True).values()) < 1 << 16 else 4
+
+    def packed(self, ids: list[int]) -> bytes:
+        return struct.pack(f"<{len(ids)}{'H' if self.width == 2 else 'I'}", *ids)
 
     def ids(self, text: str) -> list[int]:
         return self.whole.encode(text, add_special_tokens=False).ids
@@ -64,13 +70,13 @@ class WordEncoder:
         out, at = self.ids(" ".join(words)), 0
         cut = [i + 1 for i, x in enumerate(out) if x in self.ends]
         if len(cut) != len(words):
-            self.known |= {w: _packed(self.ids(w)) for w in words}
+            self.known |= {w: self.packed(self.ids(w)) for w in words}
             return
         for word, to in zip(words, cut):
-            self.known[word], at = _packed(out[at:to]), to
+            self.known[word], at = self.packed(out[at:to]), to
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
+        """Ids of each text as little-endian unsigned integers of `width` bytes."""
         if len(self.known) > MOST_WORDS:
             self.known.clear()
         cut = [None if any(a in t for a in self.added) else LATIN_WORD.findall(t.lower()) if BEYOND.search(t) is None else CHUNK.findall(t) for t in texts]
@@ -78,13 +84,9 @@ class WordEncoder:
         if latin:
             self.learn(sorted(latin))
         for w in {w for t, ws in zip(texts, cut) if ws and BEYOND.search(t) for w in ws}.difference(self.known):
-            self.known[w] = _packed(self.ids(w))
+            self.known[w] = self.packed(self.ids(w))
         for t, ws in zip(texts, cut):
-            yield _packed(self.ids(t)) if ws is None else b"".join(map(self.known.__getitem__, ws))
-
-
-def _packed(ids: list[int]) -> bytes:
-    return struct.pack(f"<{len(ids)}I", *ids)
+            yield self.packed(self.ids(t)) if ws is None else b"".join(map(self.known.__getitem__, ws))
 
 
 def masked(data: bytes) -> int:
@@ -123,8 +125,8 @@ _encoders: dict[str, WordEncoder] = {}
 
 def write_part(batches: Iterator[pa.RecordBatch], folder: str, path: str, end_id: int) -> Iterator[pa.RecordBatch]:
     """Write the shard of this task from (id, text) in order; its row of the manifest."""
-    end = _packed([end_id])
     encoder = _encoders.get(path) or _encoders.setdefault(path, WordEncoder(path))
+    end = encoder.packed([end_id])
     filesystem, base = opened(folder)
     task = TaskContext.get()
     name, mark = f"{base}/{task.partitionId():05d}", f".{task.taskAttemptId()}.{uuid.uuid4().hex[:8]}.tmp"
@@ -138,10 +140,10 @@ def write_part(batches: Iterator[pa.RecordBatch], folder: str, path: str, end_id
             own, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
             for a, b in slices(texts):
                 for doc, body_ in zip(own[a:b], encoder.encode(texts[a:b])):
-                    framed = record(OWN.pack(doc is not None, doc or 0) + body_ + end)
+                    framed = record(OWN.pack(encoder.width << 1 | (doc is not None), doc or 0) + body_ + end)
                     index.write(ENTRY.pack(at, ids))
                     out.write(framed)
-                    at, records, ids, high = at + len(framed), records + 1, ids + len(body_) // 4 + 1, doc
+                    at, records, ids, high = at + len(framed), records + 1, ids + len(body_) // encoder.width + 1, doc
     for kind in ("rec", "idx"):
         filesystem.move(f"{name}.{kind}{mark}", f"{name}.{kind}")
     yield pa.RecordBatch.from_pydict({"shard": pa.array([task.partitionId()], pa.int32()), "records": pa.array([records], pa.int64()), "ids": pa.array([ids], pa.int64()), "low": pa.array([low], pa.int64()), "high": pa.array([high], pa.int64())})
@@ -164,7 +166,7 @@ def write(df: DataFrame, folder: str, path: str, id_col: str = "doc_id", text_co
 
 
 def read_slice(filesystem, name: str, first: int, to: int) -> Iterator[tuple[int | None, bytes, int]]:
-    """(document id, ids as bytes, ids before it in the shard) of a range of records, found by the index."""
+    """(document id, ids as bytes of 4 each, ids before it in the shard) of a range of records, found by the index."""
     with filesystem.open_input_file(f"{name}.idx") as index, filesystem.open_input_file(f"{name}.rec") as records:
         entries, end = index.size() // ENTRY.size, records.size()
         while first < to:
@@ -178,7 +180,8 @@ def read_slice(filesystem, name: str, first: int, to: int) -> Iterator[tuple[int
             for k in range(n):
                 data, at = parse(buffer, at)
                 has, doc = OWN.unpack_from(data)
-                yield doc if has else None, data[OWN.size :], spots[k][1]
+                ids = np.frombuffer(data, "<u2" if has >> 1 == 2 else "<u4", offset=OWN.size)
+                yield doc if has & 1 else None, ids.astype("<u4").tobytes(), spots[k][1]
             first += n
 
 
