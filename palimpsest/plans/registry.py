@@ -1,7 +1,6 @@
 """The engine's queries, by the names that the entry module registers, and their SQL counterparts."""
 
-from __future__ import annotations
+from palimpsest.plans.queries import ORACLES, QUERIES
 
 FLAGSHIP = "latest_token_origins"
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+__all__ = ["FLAGSHIP", "ORACLES", "QUERIES"]
