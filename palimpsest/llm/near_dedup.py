@@ -1,7 +1,7 @@
 """Near-duplicate groups by SuperMinHash, banding, verification and union-find.
 
-A SuperMinHash signature lets each element rank the slots by a random permutation of its own: at rank j the element
-offers j + a random fraction to its j-th slot, and each slot keeps the lowest offer. Ranks are tried from 0 up for all
+A SuperMinHash signature lets each element rank the slots by a random permutation of its own (a random start and step
+modulo a prime): at rank j the element offers j + a random fraction to its j-th slot, and each slot keeps the lowest. Ranks are tried from 0 up for all
 elements together; once every slot holds less than the next rank, no later offer can win and the rest is skipped.
 
 Texts with equal shingle sets are one node. Signatures are cut into bands; nodes that share a band's hash meet in a
@@ -21,7 +21,6 @@ from __future__ import annotations
 
 import hashlib
 import math
-import re
 from collections.abc import Iterator
 from functools import partial
 
@@ -30,14 +29,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import WORD, body
+from palimpsest.llm.common import body
 from palimpsest.llm.components import components
+from palimpsest.llm.exact_dedup import maybe_shared
 from palimpsest.session import materialize, table
 
-WORDS = re.compile(WORD)
-LOWER = {c: c + 32 for c in range(65, 91)}
-#: Bands; the most nodes of a bucket that one task takes; words that a worker remembers; elements ranked together.
-BANDS, BLOCK, MOST_WORDS, TOGETHER = 48, 4096, 1_000_000, 2048
+#: Bands; the most nodes of a bucket that one task takes; bytes hashed and elements ranked together, single texts apart.
+BANDS, BLOCK, CHUNK, TOGETHER = 48, 4096, 1 << 20, 20_000
 #: Groups of equal sets above total / HOT_SHARE rows are joined by broadcast: at most HOT_SHARE of them.
 HOT_SHARE, HOT_LEAST = 1000, 1000
 ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
@@ -50,48 +48,89 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_words: dict[str, int] = {}
-
-
-def _word_hash(word: str) -> int:
-    if (h := _words.get(word)) is None:
-        if len(_words) > MOST_WORDS:
-            _words.clear()
-        h = _words[word] = int.from_bytes(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
-    return h
-
-
-def shingles(text: str, size: int) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the word shingles of a text, A-Z lower-cased."""
-    words = WORDS.findall(text.translate(LOWER))
-    if not words:
-        return np.zeros(0, np.uint64)
-    h = np.fromiter(map(_word_hash, words), np.uint64, len(words))
-    size = min(size, len(words))
-    out = np.full(len(words) - size + 1, np.uint64(size * 0x9E3779B1), np.uint64)
-    for k in range(size):
-        out = mixed(out * np.uint64(ODD[0]) + h[k : len(h) - size + 1 + k])
-    return np.unique(out)
-
-
-def signature(elements: np.ndarray, slots: int) -> np.ndarray:
-    """SuperMinHash of a set of 64-bit hashes."""
-    best = np.full(slots, np.inf)
-    order = np.arange(slots, dtype=np.int16 if slots < 1 << 15 else np.int32)
-    for at in range(0, len(elements), TOGETHER):
-        part = elements[at : at + TOGETHER]
-        perm, rows, stop = np.tile(order, (len(part), 1)), np.arange(len(part)), best.max()
+_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def _power(n: int) -> list[np.ndarray]:
+    """Powers of ODD[0] and of its inverse modulo 2**64, up to n."""
+    if len(_powers[0]) < n:
+        size = max(n, CHUNK + 1)
+        _powers[:] = [np.multiply.accumulate(np.concatenate(([np.uint64(1)], np.full(size - 1, np.uint64(x))))) for x in (ODD[0], pow(ODD[0], -1, 1 << 64))]
+    return _powers
+
+
+_LETTER = mixed(np.where((np.arange(256) >= 65) & (np.arange(256) <= 90), np.arange(256) + 32, np.arange(256)).astype(np.uint64) + np.uint64(ODD[1]))
+_SPACE = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
+
+
+def shingle_sets(texts: pa.Array, size: int) -> Iterator[np.ndarray]:
+    """For each text the sorted distinct 64-bit hashes of its word shingles, A-Z lower-cased; null is empty.
+
+    Word hashes come from prefix sums over the bytes of many texts at once: no byte of a longer character is a space.
+    """
+    texts = pa.array(texts.to_pylist(), pa.large_binary()) if texts.null_count else texts.cast(pa.large_string())
+    ends = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
+    at = 0
+    while at < len(texts):
+        to = max(at + 1, int(np.searchsorted(ends, ends[at] + CHUNK, "right")) - 1)
+        raw = data[ends[at] : ends[to]]
+        n, edge = len(raw), ends[at : to + 1] - ends[at]
+        power, inverse = _power(n + 1)
+        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_LETTER[raw] * power[:n], dtype=np.uint64)))
+        inside = np.concatenate(([False], ~_SPACE[raw], [False]))
+        cut = np.zeros(n + 1, bool)
+        cut[edge] = True
+        start = np.flatnonzero(inside[1:] & (~inside[:-1] | cut))
+        end = np.flatnonzero(inside[:-1] & (~inside[1:] | cut))
+        words = mixed((sums[end] - sums[start]) * inverse[start] ^ ((end - start).astype(np.uint64) * np.uint64(ODD[2])))
+        of = np.searchsorted(start, edge)
+        shingle = np.full(max(0, len(words) - size + 1), np.uint64(size * 0x9E3779B1), np.uint64)
+        for k in range(size):
+            shingle = mixed(shingle * np.uint64(ODD[0]) + words[k : len(words) - size + 1 + k])
+        for lo, hi in zip(of[:-1].tolist(), of[1:].tolist()):
+            if hi - lo >= size:
+                yield np.unique(shingle[lo : hi - size + 1])
+            else:
+                short = np.full(min(1, hi - lo), np.uint64((hi - lo) * 0x9E3779B1), np.uint64)
+                for k in range(lo, hi):
+                    short = mixed(short * np.uint64(ODD[0]) + words[k])
+                yield short
+        at = to
+
+
+def signatures(sets: list[np.ndarray], slots: int) -> np.ndarray:
+    """A SuperMinHash for each non-empty set; `slots` is prime. An element's permutation is a random step modulo `slots`."""
+    out = np.empty((len(sets), slots))
+    order = np.argsort([len(s) for s in sets], kind="stable")
+    at = 0
+    while at < len(order):
+        to, many = at, 0
+        while to < len(order) and (to == at or many + len(sets[order[to]]) <= TOGETHER and to - at < 256):
+            many += len(sets[order[to]])
+            to += 1
+        mine = order[at:to]
+        best = np.full((len(mine), slots), np.inf)
+        flat = best.reshape(-1)
+        element = np.concatenate([sets[i] for i in mine])
+        base = np.repeat(np.arange(len(mine)) * slots, [len(sets[i]) for i in mine])
+        draw = mixed(element ^ np.uint64(ODD[1]))
+        slot = (draw >> np.uint64(32)).astype(np.int64) % slots
+        step = 1 + (draw & np.uint64(0xFFFFFFFF)).astype(np.int64) % (slots - 1)
         for j in range(slots):
-            if stop <= j:
+            offer = (mixed(element + np.uint64((j + 1) * ODD[2] & 0xFFFFFFFFFFFFFFFF)) >> np.uint64(12)) * 2.0**-52 + j
+            np.minimum.at(flat, base + slot, offer)
+            done = best.max(1) <= j + 1
+            if done.all():
                 break
-            draw = mixed(part + np.uint64((j + 1) * ODD[1] & 0xFFFFFFFFFFFFFFFF))
-            pick = j + (draw >> np.uint64(40)).astype(np.int64) * (slots - j) // (1 << 24)
-            slot = perm[rows, pick]
-            perm[rows, pick] = perm[:, j]
-            offer = mixed(draw ^ np.uint64(ODD[2])) / 2.0**64
-            np.minimum.at(best, slot, np.minimum(offer, 1 - 2.0**-53) + j)
-            stop = best.max()
-    return best
+            slot += step
+            slot[slot >= slots] -= slots
+            if j % 4 == 3 and done.any():
+                use = ~done[base // slots]
+                element, base, slot, step = element[use], base[use], slot[use], step[use]
+        out[mine] = best
+        at = to
+    return out
 
 
 def rows_of_band(threshold: float) -> int:
@@ -99,12 +138,20 @@ def rows_of_band(threshold: float) -> int:
     return max(1, round(math.log(0.27) / math.log(threshold)))
 
 
+def slots_for(rows: int) -> int:
+    """The least prime that fills all bands."""
+    n = rows * BANDS
+    while any(n % d == 0 for d in range(2, int(n**0.5) + 1)):
+        n += 1
+    return n
+
+
 def bands(best: np.ndarray, rows: int) -> np.ndarray:
-    """A 64-bit hash for each band, its number included."""
-    cells = best.view(np.uint64).reshape(-1, rows)
-    out = np.arange(1, len(cells) + 1, dtype=np.uint64) * np.uint64(ODD[1])
+    """A 64-bit hash for each band of each signature, its number included."""
+    cells = best[:, : rows * BANDS].copy().view(np.uint64).reshape(len(best), BANDS, rows)
+    out = np.tile(np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(ODD[1]), (len(best), 1))
     for k in range(rows):
-        out = mixed(out * np.uint64(ODD[0]) + cells[:, k])
+        out = mixed(out * np.uint64(ODD[0]) + cells[:, :, k])
     return out
 
 
@@ -113,28 +160,26 @@ def _node(hashes: np.ndarray) -> bytes | None:
 
 
 def _signed(batches: Iterator[pa.RecordBatch], size: int, rows: int) -> Iterator[pa.RecordBatch]:
-    """(id, n_shingles, node, bands): the bands only with the first row of a node in a batch."""
+    """(id, print, n_shingles, node, bands): the bands only with the first row of a node in a batch."""
     for batch in batches:
-        seen, out = set(), ([], [], [])
-        for text in batch.column(1).to_pylist():
-            h = shingles(text or "", size)
-            node = _node(h)
-            out[0].append(len(h))
-            out[1].append(node)
-            out[2].append(None if node is None or node in seen else bands(signature(h, rows * BANDS), rows).view(np.int64))
-            seen.add(node)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out[0], pa.int64()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.list_(pa.int64()))], ["id", "n_shingles", "node", "bands"])
+        sizes, nodes, new = [], [], {}
+        for i, h in enumerate(shingle_sets(batch.column(2), size)):
+            sizes.append(len(h))
+            nodes.append(_node(h))
+            if len(h) and nodes[-1] not in new:
+                new[nodes[-1]] = (i, h)
+        signed = bands(signatures([h for _, h in new.values()], slots_for(rows)), rows).view(np.int64) if new else []
+        cells = [None] * len(nodes)
+        for (i, _), b in zip(new.values(), signed):
+            cells[i] = b
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(nodes, pa.binary()), pa.array(cells, pa.list_(pa.int64()))], ["id", "print", "n_shingles", "node", "bands"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
-    """(node, hashes), each node once in a batch."""
+    """(node, hashes) of texts."""
     for batch in batches:
-        found = {}
-        for text in set(batch.column(0).to_pylist()):
-            h = shingles(text or "", size)
-            if len(h):
-                found[_node(h)] = h.tobytes()
-        yield pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.binary()), pa.array(found.values(), pa.binary())], ["node", "hashes"])
+        found = [(_node(h), h.tobytes()) for h in shingle_sets(batch.column(0), size)]
+        yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.binary()) for k in (0, 1)], ["node", "hashes"])
 
 
 def linked(sets: list[np.ndarray], num: int, den: int) -> np.ndarray:
@@ -206,23 +251,26 @@ def _links(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa
 
 def groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """(id, n_shingles, component_id) for each row of `df`: component_id is the smallest id of the row's group."""
-    docs = df.select(F.col(id_col).cast("long").alias("id"), body(text_col).alias("text"))
+    own = F.col(id_col).cast("long")
+    docs = df.select(own.alias("id"), F.xxhash64(own.isNull(), own, body(text_col)).alias("print"), body(text_col).alias("text"))
     rows = rows_of_band(num / den)
-    signed = materialize(docs.mapInArrow(partial(_signed, size=shingle, rows=rows), "id long, n_shingles long, node binary, bands array<long>"), "near-signed")
-    nodes = signed.filter("node is not null").groupBy("node").agg(F.min("id").alias("low"), F.count("*").alias("n"), F.first("bands", ignorenulls=True).alias("bands"))
+    signed = materialize(docs.mapInArrow(partial(_signed, size=shingle, rows=rows), "id long, print long, n_shingles long, node binary, bands array<long>"), "near-signed")
+    nodes = signed.filter("node is not null").groupBy("node").agg(F.min("id").alias("low"), F.count("*").alias("n"), F.min(F.struct(F.coalesce("id", F.lit(0)).alias("id"), "print")).alias("row"), F.first("bands", ignorenulls=True).alias("bands"))
     nodes = materialize(nodes, "near-nodes")
 
     cells = nodes.select("node", F.explode("bands").alias("bucket"))
-    met = cells.groupBy("bucket").agg(F.count("*").alias("n"), F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("h"), F.bit_xor(F.xxhash64(F.lit(7), "node")).alias("x"))
+    cells = materialize(maybe_shared(cells, F.col("bucket"), nodes.count() * BANDS), "near-cells")
+    met = cells.groupBy("bucket").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64(F.lit(5), "node")).alias("h"), F.bit_xor(F.xxhash64(F.lit(7), "node")).alias("x"))
     met = met.filter("n > 1").groupBy("n", "h", "x").agg(F.min("bucket").alias("bucket"))
     blocks = F.ceil(F.col("n") / (BLOCK // 2)).cast("int")
     cand = cells.join(met.select("bucket", F.when(F.col("n") > BLOCK, blocks).otherwise(1).alias("blocks")), "bucket")
-    own = F.pmod(F.xxhash64(F.lit(3), "node"), F.col("blocks")).cast("int")
-    cand = cand.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    block = F.pmod(F.xxhash64(F.lit(3), "node"), F.col("blocks")).cast("int")
+    cand = cand.withColumn("own", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     cand = materialize(cand.select("bucket", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "node"), "near-candidates")
 
-    sets = docs.select("text").mapInArrow(partial(_sets, size=shingle), "node binary, hashes binary")
-    sets = sets.join(cand.select("node").distinct(), "node").groupBy("node").agg(F.first("hashes").alias("hashes"))
+    wanted = nodes.join(cand.select("node").distinct(), "node", "left_semi").select(F.col("row.id").alias("of"), F.col("row.print").alias("mark"))
+    texts = docs.join(wanted, (F.coalesce("id", F.lit(0)) == F.col("of")) & (F.col("print") == F.col("mark"))).select("text")
+    sets = texts.mapInArrow(partial(_sets, size=shingle), "node binary, hashes binary").groupBy("node").agg(F.first("hashes").alias("hashes"))
     full = cand.join(sets, "node").select("bucket", "a", "b", "node", "hashes").repartition("bucket", "a", "b").sortWithinPartitions("bucket", "a", "b", "node")
     edges = full.mapInArrow(partial(_links, num=num, den=den), "u binary, v binary")
 
