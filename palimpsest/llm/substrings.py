@@ -39,7 +39,9 @@ from palimpsest.session import materialize, table
 LENGTH, GRAM = 400, 200
 SIDE = LENGTH - GRAM
 #: Leading bytes that splitters look at; members of a group held in memory; bytes of a segment.
-LEAD, MOST, SEGMENT = 24, 20_000, 1 << 20
+LEAD, MOST, SEGMENT = 24, 50_000, 1 << 20
+#: Members of a group up to which all its pairs are compared at once instead of sorting it.
+FEW = 24
 _U = np.uint64
 _BASES = (0x9E3779B97F4A7C15 | 1, 0xD6E8FEB86659FD93 | 1)
 _LETTERS = [mixed(np.arange(1, 257, dtype=_U) * _U(b)) for b in _BASES]
@@ -225,10 +227,24 @@ def common_prefixes(strings: list[bytes], order: np.ndarray) -> np.ndarray:
     return np.concatenate(([0], np.minimum(np.where(differs.any(1), differs.argmax(1), width), np.minimum(size[1:], size[:-1]))))
 
 
+def _shared(strings: list[bytes], width: int) -> np.ndarray:
+    """Length of the common prefix of each two of a few strings, `width` at most."""
+    raw = np.frombuffer(b"".join(s.ljust(width, b"\0") for s in strings), np.uint8).reshape(len(strings), width)
+    differs = raw[:, None, :] != raw[None, :, :]
+    size = np.array([len(s) for s in strings])
+    return np.minimum(np.where(differs.any(2), differs.argmax(2), width), np.minimum(size[:, None], size[None, :]))
+
+
 def repeats(suffixes: list[bytes], lefts: list[bytes]) -> np.ndarray:
     """For anchors of one group of leading bytes: a row for each, whether its window that starts k bytes to the left repeats."""
     n = len(suffixes)
     out = np.zeros((n, SIDE + 1), bool)
+    if n <= FEW:  # two anchors share the windows from LENGTH - (bytes alike ahead) to (bytes alike behind)
+        low, high = LENGTH - _shared(suffixes, LENGTH), _shared(lefts, SIDE)
+        np.fill_diagonal(low, LENGTH)
+        for i, j in zip(*np.nonzero(low <= high)):
+            out[i, low[i, j] : high[i, j] + 1] = True
+        return out
     forward, backward = multikey_order(suffixes), multikey_order(lefts)
     ahead, behind = common_prefixes(suffixes, forward), common_prefixes(lefts, backward)
     right_size, left_size = np.array([len(s) for s in suffixes]), np.array([len(s) for s in lefts])
@@ -248,24 +264,27 @@ def _compared(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Recor
     out: list[tuple] = []
 
     def digests() -> None:
+        """The windows of the rows at hand; a few rows at a time, so that they don't pile up."""
         for _, suffix, left, i, f, p, known in rows:
             near = left[::-1] + suffix
             for k in range(max(0, LENGTH - len(suffix)), len(left) + 1):
                 start = len(left) - k
                 out.append((i, f, p - k, p - k, hashlib.md5(near[start : start + LENGTH]).digest()))
-        rows.clear()
 
-    def flush() -> None:
+    def flush() -> Iterator[pa.RecordBatch]:
         nonlocal over
         if over:
-            digests()
+            held = rows[:]
+            for at in range(0, len(held), 64):
+                rows[:] = held[at : at + 64]
+                digests()
+                yield packed()
         elif len(rows) > 1:
             for row, hit in zip(rows, repeats([r[1] for r in rows], [r[2] for r in rows])):
                 if not row[6] and hit.any():
                     edges = np.flatnonzero(np.diff(np.concatenate(([0], hit.view(np.int8), [0]))))
                     out.extend((row[3], row[4], row[5] - int(b) + 1, row[5] - int(a), None) for a, b in zip(edges[::2], edges[1::2]))
         rows.clear()
-        over = False
 
     def packed() -> pa.RecordBatch:
         made = pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate([pa.int64()] * 4 + [pa.binary()])], ["id", "print", "first", "last", "window"])
@@ -275,16 +294,15 @@ def _compared(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Recor
     for batch in batches:
         for row in zip(*(c.to_pylist() for c in batch.columns)):
             if row[0] != lead:
-                flush()
-                lead = row[0]
+                yield from flush()
+                lead, over = row[0], False
             rows.append(row)
-            if len(rows) > most:
+            if len(rows) > most or over and len(rows) >= 64:
                 over = True
-            if over and len(rows) >= 64:
-                digests()
+                yield from flush()
             if len(out) >= 10_000:
                 yield packed()
-    flush()
+    yield from flush()
     if out:
         yield packed()
 
@@ -313,7 +331,7 @@ def repeated_starts(docs: DataFrame, most: int = MOST) -> DataFrame:
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     compared = cut.repartitionByRange(parts, "lead").sortWithinPartitions("lead").mapInArrow(partial(_compared, most=most), "id long, print long, first long, last long, window binary")
     compared = materialize(compared, "substring-repeats")
-    dealt = compared.filter("window is not null")
+    dealt = compared.filter("window is not null").dropDuplicates(["window", "id", "print", "first"])  # two anchors may tell of one window
     often = dealt.groupBy("window").agg(F.count("*").alias("n")).filter("n > 1").select("window")
     starts = ["id", "print", "first", "last"]
     return found.filter("not end").select(*starts).unionByName(compared.filter("window is null").select(*starts)).unionByName(dealt.join(often, "window", "left_semi").select(*starts))
