@@ -172,12 +172,12 @@ def index_replace(spark, sf_dir):
 
 @query("""
 WITH a AS (SELECT o_orderkey % 500 + 1 AS rev_id FROM orders WHERE o_orderkey % 3 = 0)
-SELECT a.rev_id, count(*) AS n_asked, any_value(c.conv_id) AS page_id FROM a LEFT JOIN conversations c ON c.conv_id * 100 + c.turn + 1 = a.rev_id GROUP BY a.rev_id""")
+SELECT a.rev_id, count(*) AS n_asked, coalesce(any_value(c.conv_id), -1) AS page_id FROM a LEFT JOIN conversations c ON c.conv_id * 100 + c.turn + 1 = a.rev_id GROUP BY a.rev_id""")
 def index_lookup(spark, sf_dir):
-    """Pages of asked revisions; the unknown have none."""
+    """Pages of asked revisions; the unknown have -1."""
     asked = table(spark, sf_dir, "orders").filter("o_orderkey % 3 = 0").select(F.lit("en").alias("lang"), (F.col("o_orderkey") % 500 + 1).alias("rev_id"))
     asked = asked.groupBy("lang", "rev_id").agg(F.count("*").alias("n_asked"))
-    return store.lookup(histories.turns(spark, sf_dir), asked).select("rev_id", "n_asked", "page_id")
+    return store.lookup(histories.turns(spark, sf_dir), asked).select("rev_id", "n_asked", F.coalesce("page_id", F.lit(-1).cast("long")).alias("page_id"))
 
 
 @query("""
