@@ -44,18 +44,6 @@ def _is_set(bits: str, slot: str) -> Column:
     return F.coalesce(byte.bitwiseAND(F.expr(f"shiftleft(1, int(bitmap_bit_position({slot}) % 8))")) != 0, F.lit(False))
 
 
-def maybe_shared(df: DataFrame, key: Column, total: int) -> DataFrame:
-    """The rows of `df` but those whose key surely no other row has, by one hash with twice the slots."""
-    n = {x: fresh(df, x) for x in ("slot", "at", "bits")}
-    slots = 1 << max(10, min(MOST_SLOTS.bit_length(), (max(1, total) * 2 * SLOTS_PER_ROW - 1).bit_length()))
-    slot = F.pmod(F.xxhash64(key), F.lit(slots)) + 1
-    counted = df.select(slot.alias("slot")).groupBy("slot").count().filter("count > 1")
-    pages = counted.select(F.bitmap_bucket_number("slot").alias(n["at"]), F.bitmap_bit_position("slot").alias("bit")).groupBy(n["at"]).agg(F.bitmap_construct_agg("bit").alias(n["bits"]))
-    rows = df.withColumn(n["slot"], slot)
-    rows = rows.join(F.broadcast(pages), F.bitmap_bucket_number(n["slot"]) == F.col(n["at"]))
-    return rows.filter(_is_set(n["bits"], n["slot"])).select(*df.columns)
-
-
 def decide(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`df` with keep_id, group_size, kept and text_sha256: of equal texts the row with the largest id stays."""
     names = {n: fresh(df, n) for n in ("keep_id", "group_size", "kept", "text_sha256", "s0", "s1", "p0", "p1", "b0", "b1", "maybe", "hk", "hn", "rk", "rn")}

@@ -27,11 +27,11 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from palimpsest.llm.common import body
 from palimpsest.llm.components import components
-from palimpsest.llm.exact_dedup import maybe_shared
 from palimpsest.session import materialize, table
 
 #: Bands; the most nodes of a bucket that one task takes; bytes hashed and elements ranked together, single texts apart.
@@ -259,11 +259,12 @@ def groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingl
     nodes = materialize(nodes, "near-nodes")
 
     cells = nodes.select("node", F.explode("bands").alias("bucket"))
-    cells = materialize(maybe_shared(cells, F.col("bucket"), nodes.count() * BANDS), "near-cells")
-    met = cells.groupBy("bucket").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64(F.lit(5), "node")).alias("h"), F.bit_xor(F.xxhash64(F.lit(7), "node")).alias("x"))
-    met = met.filter("n > 1").groupBy("n", "h", "x").agg(F.min("bucket").alias("bucket"))
+    cells = cells.withColumn("n", F.count("*").over(W.partitionBy("bucket"))).filter("n > 1")
+    cells = materialize(cells, "near-cells")
+    met = cells.groupBy("bucket", "n").agg(F.bit_xor(F.xxhash64(F.lit(5), "node")).alias("h"), F.bit_xor(F.xxhash64(F.lit(7), "node")).alias("x"))
+    met = met.groupBy("n", "h", "x").agg(F.min("bucket").alias("bucket"))
     blocks = F.ceil(F.col("n") / (BLOCK // 2)).cast("int")
-    cand = cells.join(met.select("bucket", F.when(F.col("n") > BLOCK, blocks).otherwise(1).alias("blocks")), "bucket")
+    cand = cells.drop("n").join(met.select("bucket", F.when(F.col("n") > BLOCK, blocks).otherwise(1).alias("blocks")), "bucket")
     block = F.pmod(F.xxhash64(F.lit(3), "node"), F.col("blocks")).cast("int")
     cand = cand.withColumn("own", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     cand = materialize(cand.select("bucket", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "node"), "near-candidates")
