@@ -133,3 +133,44 @@ def is_vandalism(tables: Tables, asked: DataFrame) -> DataFrame:
     """`asked` (lang, page_id, rev_id) with is_vandalism: true for what the rules rejected, false for the unknown or stored."""
     meta = tables.article_meta.select(*PAGE, "spam_revisions")
     return asked.join(meta, PAGE, "left").withColumn("is_vandalism", F.coalesce(F.array_contains("spam_revisions", F.col("rev_id")), F.lit(False))).drop("spam_revisions")
+
+
+def _listed(*parts: Column) -> Column:
+    """A JSON list of values of different types."""
+    return F.concat(F.lit("["), F.concat_ws(",", *parts), F.lit("]"))
+
+
+def _text(c: Column | str) -> Column:
+    """A JSON string."""
+    inner = F.to_json(F.struct(F.col(c).alias("v") if isinstance(c, str) else c.alias("v")))
+    return F.regexp_extract(inner, r'(?s)^\{"v":(.*)\}$', 1)
+
+
+def colour_envelope(tables: Tables, coloured: DataFrame, annotations: DataFrame, users: DataFrame, rendered: Column | None = None) -> DataFrame:
+    """(lang, page_id, rev_id, content): the JSON envelope of coloured tokens, keys and places in their fixed order.
+
+    `annotations` are (lang, page_id, rev_id, text, editors) of the same revisions; `rendered` is what becomes of the annotated
+    text in markup (the text itself if not told; rendering is another service's). Users name the numeric editors.
+    """
+    key = [*PAGE, "rev_id"]
+    number = lambda c: F.to_json(F.array(c))
+    bare = lambda c: F.regexp_extract(number(c), r"^\[(.*)\]$", 1)
+    token = _listed(F.col("conflict_score").cast("string"), _text("str"), F.col("origin_rev_id").cast("string"), F.to_json("inbound"), F.to_json("outbound"), _text("class_name"), bare(F.col("age")))
+    tokens = coloured.groupBy(*key).agg(
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", token.alias("j")))), lambda x: x["j"]), ",").alias("tokens"), F.max("conflict_score").alias("most"),
+    )
+    named = display_names(tables.revisions, users)
+    entry = F.concat(F.lit('"'), F.col("rev_id").cast("string"), F.lit('":'), _listed(_text("timestamp"), F.col("parent_rev_id").cast("string"), _text(X.editor_class("editor")), _text("editor_name")))
+    chain = named.groupBy(*PAGE).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ord", entry.alias("j")))), lambda x: x["j"]), ",").alias("chain"))
+    total = F.aggregate("editors", F.lit(0).cast("long"), lambda n, e: n + e["n_tokens"])
+    shown = annotations.select(*key, "text", total.alias("total"), F.posexplode_outer("editors").alias("place", "e"))
+    shown = display_names(shown.select(*key, "text", "total", "place", F.col("e.editor").alias("editor"), F.col("e.class_name").alias("class_name"), F.col("e.n_tokens").alias("n_tokens")), users)
+    share = _listed(_text("editor_name"), _text("class_name"), bare(F.col("n_tokens") * 100.0 / F.col("total")))
+    pair = F.when(F.col("editor").isNotNull(), F.struct("place", share.alias("j")))
+    shown = shown.groupBy(*key).agg(F.first("text").alias("text"), F.array_join(F.transform(F.sort_array(F.collect_list(pair)), lambda x: x["j"]), ",").alias("present"))
+    rows = shown.join(tokens, key).join(chain, PAGE).join(tables.article_meta.select(*PAGE, "title"), PAGE)
+    html = F.col("text") if rendered is None else rendered
+    return rows.select(*key, F.concat(
+        F.lit('{"extended_html":'), _text(html), F.lit(',"present_editors":['), "present", F.lit('],"tokens":['), "tokens", F.lit('],"revisions":{'), "chain",
+        F.lit('},"biggest_conflict_score":'), F.col("most").cast("string"), F.lit(',"success":true,"rev_id":'), F.col("rev_id").cast("string"), F.lit(',"page_title":'), _text(F.coalesce("title", F.lit(""))), F.lit("}"),
+    ).alias("content"))
