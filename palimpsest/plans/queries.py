@@ -459,6 +459,17 @@ def annotated_markup(spark, sf_dir):
     return rows.select("page_id", "rev_id", "text", F.to_json("editors").alias("editors"))
 
 
+@query()
+def annotated_pages(spark, sf_dir):
+    """Web pages with spans around the tokens of their URL's path, for the editors that their numbers stand for."""
+    from palimpsest.operators.annotate_html import annotated_html
+
+    words = X.tokens(F.lower(F.regexp_replace("url", "^https?://", "")))
+    token = lambda t, i: F.struct(t.alias("str"), (i % 3).cast("string").alias("editor"), (i % 3).cast("string").alias("class_name"))
+    rows = table(spark, sf_dir, "pages").select("page_id", annotated_html("html", F.transform(words, token)).alias("a"))
+    return rows.select("page_id", "a.text", F.to_json("a.editors").alias("editors"))
+
+
 @query(CLOSED + """, m AS (SELECT page_id, any_value(n) AS n, count(*) AS n_lifetime_tokens FROM c_k GROUP BY page_id)
 SELECT page_id, (CASE WHEN n >= 3 THEN n + 2 ELSE n END)::BIGINT AS n_revisions, n_lifetime_tokens, page_id * 100 + (CASE WHEN n >= 3 THEN n + 2 ELSE n END) AS last_processed_revid FROM m""")
 def live_changes(spark, sf_dir):

@@ -165,3 +165,14 @@ def test_comparisons(spark):
     d = compare.field_differences(got, want, 5).first()
     assert (d["pos"], d["out_only_got"], d["out_only_expected"]) == (1, [3], [4])
     assert [tuple(r) for r in compare.mention_histogram(got, want, 5).collect()] == [(3, 1, 0, 1), (4, 0, 1, 1)]
+
+
+def test_html_annotation():
+    from palimpsest.operators.annotate_html import annotate_html
+
+    span = lambda k, e, t: SPAN.format(e, k, t)
+    assert annotate_html("<p>Hello <b>world</b></p>", [("hello", "1", "1"), ("world", "2", "2")]) == (f"<p>{span(0, 1, 'Hello')} <b>{span(1, 2, 'world')}</b></p>", [("1", "1", 1), ("2", "2", 1)])
+    html, editors = annotate_html("<!DOCTYPE html><script>var x = 'hello';</script><p class=\"a&quot;\">Hello<br/>wor<i>ld</i> &lt;b&gt; 中国&nbsp;x</p><!--c-->", [("[[", "1", "1"), ("hello", "1", "1"), ("world", "1", "1"), ("<b>", "2", "2"), ("中国", "2", "2"), ("zz", "3", "3")])
+    assert html == "<!DOCTYPE html><script>var x = 'hello';</script><p class=\"a&quot;\">" + span(0, 1, "Hello") + "<br>" + span(1, 1, "wor") + "<i>ld</i> " + span(2, 2, "&lt;b&gt;") + " " + span(3, 2, "中国") + "&nbsp;x</p><!--c-->"
+    assert editors == [("1", "1", 2), ("2", "2", 2)]
+    assert [n for _, _, n in annotate_html("<p>a b c d a a b</p>", [(x, e, e) for x, e in zip("abcdaab", "1234112")])[1]] == [3, 2, 1, 1]
