@@ -71,14 +71,36 @@ def space_class(java: bool) -> str:
     return "".join(_escape(c, java) for c in WHITE_SPACE)
 
 
-def sentence_rules(java: bool) -> list[tuple[str, str, bool]]:
-    """(what, by what, whether an expression) for Java, RE2 (`java`: group references then need translation) or Python."""
-    return [(r[1].replace(r"\W", space_class(java)), r[2], True) if len(r) == 3 else (*r, False) for r in SENTENCE_RULES]
-
-
-def token_pattern(java: bool) -> str:
-    """Finds the tokens of a sentence: joined symbols, single characters, else runs up to one of them, a space or a line feed."""
+def sentence_rules(java: bool, nest: bool = False) -> list[tuple[str, str, bool]]:
+    """(what, by what, whether an expression) for Java (`nest`), RE2 (`java`) or Python."""
+    out = []
+    for r in SENTENCE_RULES:
+        if len(r) == 2:
+            out.append((*r, False))
+            continue
+        what, put = r[1].replace(r"\W", space_class(java)), r[2]
+        if nest and what.endswith(") "):  # the space first, then a look at what is before it: no match can reach into another
+            plain = f"[^{space_class(java)}.=]"
+            # three characters are three to six units of UTF-16, in which Java counts what it looks back at
+            what, put = rf" (?<=\. )(?<={what[1:-2].replace(3 * plain, nested(plain[2:-1]) + '{3,6}')} )", put.removeprefix(r"\1")
+        out.append((what, put, True))
+    return out
+
+
+#: ASCII letters and digits, which are in none of the classes below. Java tests the parts of a nested class in order, so
+#: that these make most tests short; the set is the same without them.
+_COMMON = "a-zA-Z0-9"
+
+
+def nested(excluded: str) -> str:
+    """A Java class of all characters but the excluded."""
+    return f"[{_COMMON}[^{excluded}]]"
+
+
+def token_pattern(java: bool, nest: bool = False) -> str:
+    """Finds the tokens of a sentence: runs up to a symbol, a space or a line feed, joined symbols, single characters."""
     alone = "".join(_escape(ord(s), java) for s in SYMBOLS) + "".join(f"{_escape(a, java)}-{_escape(b, java)}" for a, b in SINGLE_RANGES)
     together = "|".join("".join(_escape(ord(c), java) for c in p) for p in PAIRS)
     pipe, end = _escape(ord("|"), java), _escape(0x20, java) + _escape(0x0A, java)
-    return f"{together}|[{pipe}{alone}]|[^{end}{pipe}{alone}]+"
+    run = nested(end + pipe + alone) if nest else f"[^{end}{pipe}{alone}]"
+    return f"{run}+|{together}|[{pipe}{alone}]"

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions import rules as R
 
-_SPACE = R.space_class(java=True)
 
 
 def _col(c: Column | str) -> Column:
@@ -16,7 +15,7 @@ def _col(c: Column | str) -> Column:
 
 def trim_space(c: Column | str) -> Column:
     """Without Unicode white space at either end."""
-    return F.regexp_replace(_col(c), f"^[{_SPACE}]+|[{_SPACE}]+$", "")
+    return F.trim(_col(c), F.lit("".join(map(chr, R.WHITE_SPACE))))
 
 
 def _parts(pieces: Column) -> Column:
@@ -34,13 +33,13 @@ def paragraphs(c: Column | str) -> Column:
 def sentences(c: Column | str) -> Column:
     """All parts between sentence breaks."""
     text = _col(c)
-    for a, b, regex in R.sentence_rules(java=True):
+    for a, b, regex in R.sentence_rules(java=True, nest=True):
         text = F.regexp_replace(text, a, b.replace(r"\1", "$1")) if regex else F.replace(text, F.lit(a), F.lit(b))
     return F.split(text, f"(?:{R.SENTENCE_BREAK})+", -1)
 
 
 def tokens(c: Column | str) -> Column:
-    found = F.regexp_extract_all(_col(c), F.lit(R.token_pattern(java=True)), F.lit(0))
+    found = F.regexp_extract_all(_col(c), F.lit(R.token_pattern(java=True, nest=True)), F.lit(0))
     return F.transform(found, lambda t: F.when(t == R.PIPE_WORD, "|").otherwise(t))
 
 
