@@ -23,6 +23,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -37,10 +38,32 @@ PIECE = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
 LETTER, DIGIT, BLANK = "A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼½¾", "\t\n\x0b\x0c\r \x85\xa0"
 LATIN_WORD = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTER}]+| ?[{DIGIT}]+| ?[^{LETTER}{DIGIT}{BLANK}]+|[{BLANK}]+(?![^{BLANK}])|[{BLANK}]+")
 BEYOND = re.compile("[^\x00-\xff]")
-#: Words and token pairs that a worker remembers before it starts anew.
-MOST_WORDS, MOST_PAIRS = 1_000_000, 2_000_000
+#: Words that a worker learns before it forgets those it hasn't met since as many ago; token pairs before it starts anew.
+MOST_WORDS, MOST_PAIRS = 100_000, 250_000
 #: Rows and text characters of a batch that goes back to Spark.
-BATCH_ROWS, BATCH_CHARS = 2_000, 4_000_000
+BATCH_ROWS, BATCH_CHARS = 1_000, 1_000_000
+#: Words of one trie.
+TRIE_WORDS = 10_000
+
+
+class Recent(dict):
+    """A mapping that is bounded: when it has grown to `most`, it becomes the older half; what is met again comes back."""
+
+    def __init__(self, most: int):
+        super().__init__()
+        self.most, self.older = most, {}
+
+    def unknown(self, keys: set) -> set:
+        """The keys that it doesn't hold, after those of the older half have come back."""
+        if len(self) > self.most:
+            self.older = dict(self)
+            self.clear()
+        new = keys.difference(self)
+        if self.older:
+            back = new.intersection(self.older)
+            self.update((k, self.older[k]) for k in back)
+            new -= back
+        return new
 
 
 def byte_letters() -> dict[str, int]:
@@ -78,7 +101,7 @@ class TrieBpe:
                 node = node.setdefault(byte, {})
             node[-1] = i
         self.pairs: dict[int, bool] = {}
-        self.words: dict[str, tuple[int, ...]] = {}
+        self.words: Recent = Recent(MOST_WORDS)
 
     def merged(self, text: bytes) -> list[bytes]:
         """Byte-pair merging as it is defined: the lowest rank first, the leftmost of equals."""
@@ -150,12 +173,13 @@ class TrieBpe:
         return [bytes(map(letters, w)).decode() for p in PIECE.findall(text) for w, _ in self.words_of(p)]
 
     def encode(self, texts: list[str]) -> Iterator[list[int]]:
-        if len(self.words) > MOST_WORDS:
-            self.words.clear()
         cut = [[(self.cut(s) if s not in self.added else (), self.added.get(s)) for s in (self.stop.split(t) if self.stop else [t]) if s] for t in texts]
-        if new := {w for parts in cut for ws, _ in parts for w in ws}.difference(self.words):
-            of = self.encode_words({w.encode() for w in new})
-            self.words.update((w, of[w.encode()]) for w in new)
+        if new := self.words.unknown({w for parts in cut for ws, _ in parts for w in ws}):
+            ordered = sorted(new)  # words of one trie are neighbours, so that they share what they can
+            for at in range(0, len(ordered), TRIE_WORDS):
+                some = ordered[at : at + TRIE_WORDS]
+                of = self.encode_words({w.encode() for w in some})
+                self.words.update((w, of[w.encode()]) for w in some)
         ids_of = self.words.__getitem__
         for parts in cut:
             ids: list[int] = []
@@ -181,16 +205,18 @@ def loaded(path: str) -> TrieBpe:
     return _loaded[path]
 
 
-def slices(texts: list[str]) -> Iterator[tuple[int, int]]:
-    """Ranges of rows that stay within BATCH_ROWS and, but for a single longer text, BATCH_CHARS."""
+def slices(texts: pa.Array) -> Iterator[tuple[int, list[str]]]:
+    """(place, texts with null as empty) in parts within BATCH_ROWS and, but for a single longer text, BATCH_CHARS bytes."""
     at = size = 0
-    for i, t in enumerate(texts):
-        if i > at and (size + len(t) > BATCH_CHARS or i - at >= BATCH_ROWS):
-            yield at, i
+    lengths = pc.binary_length(texts).fill_null(0).to_pylist()
+    for i, n in enumerate(lengths):
+        if i > at and (size + n > BATCH_CHARS or i - at >= BATCH_ROWS):
+            yield at, [t or "" for t in texts.slice(at, i - at).to_pylist()]
             at, size = i, 0
-        size += len(t)
-    if at < len(texts):
-        yield at, len(texts)
+        size += n
+    if at < len(lengths):
+        yield at, [t or "" for t in texts.slice(at).to_pylist()]
+    pa.default_memory_pool().release_unused()
 
 
 def encode(df: DataFrame, path: str, text_col: str = "text") -> DataFrame:
@@ -202,11 +228,10 @@ def encode(df: DataFrame, path: str, text_col: str = "text") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(path)
         for batch in batches:
-            texts = [t or "" for t in batch.column(at).to_pylist()]
-            for a, b in slices(texts):
-                ids = list(bpe.encode(texts[a:b]))
+            for a, texts in slices(batch.column(at)):
+                ids = list(bpe.encode(texts))
                 more = [pa.array([len(x) for x in ids], pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array(map(bpe.decode, ids), pa.string())]
-                yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns, *more], [*batch.schema.names, *names])
+                yield pa.RecordBatch.from_arrays([*batch.slice(a, len(texts)).columns, *more], [*batch.schema.names, *names])
 
     return df.mapInArrow(run, fields)
 

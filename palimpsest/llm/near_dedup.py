@@ -35,7 +35,9 @@ from palimpsest.llm.components import components
 from palimpsest.session import materialize, table
 
 #: Bands; the most nodes of a bucket that one task takes; bytes hashed and elements ranked together, single texts apart.
-BANDS, BLOCK, CHUNK, TOGETHER = 48, 4096, 1 << 20, 20_000
+BANDS, BLOCK, CHUNK, TOGETHER = 48, 4096, 1 << 18, 20_000
+#: Rows of a batch that are worked on, and handed out, together.
+ROWS = 1024
 #: Groups of equal sets above total / HOT_SHARE rows are joined by broadcast: at most HOT_SHARE of them.
 HOT_SHARE, HOT_LEAST = 1000, 1000
 ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
@@ -160,8 +162,8 @@ def _node(hashes: np.ndarray) -> bytes | None:
 
 
 def _signed(batches: Iterator[pa.RecordBatch], size: int, rows: int) -> Iterator[pa.RecordBatch]:
-    """(id, print, n_shingles, node, bands): the bands only with the first row of a node in a batch."""
-    for batch in batches:
+    """(id, print, n_shingles, node, bands): the bands only with the first row of a node among ROWS."""
+    for batch in (b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS)):
         sizes, nodes, new = [], [], {}
         for i, h in enumerate(shingle_sets(batch.column(2), size)):
             sizes.append(len(h))
@@ -173,11 +175,12 @@ def _signed(batches: Iterator[pa.RecordBatch], size: int, rows: int) -> Iterator
         for (i, _), b in zip(new.values(), signed):
             cells[i] = b
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(nodes, pa.binary()), pa.array(cells, pa.list_(pa.int64()))], ["id", "print", "n_shingles", "node", "bands"])
+    pa.default_memory_pool().release_unused()
 
 
 def _sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     """(node, hashes) of texts."""
-    for batch in batches:
+    for batch in (b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS)):
         found = [(_node(h), h.tobytes()) for h in shingle_sets(batch.column(0), size)]
         yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.binary()) for k in (0, 1)], ["node", "hashes"])
 

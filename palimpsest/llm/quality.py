@@ -36,6 +36,8 @@ from palimpsest.session import table
 MOST_ROWS, ROUNDS, PAIR_ROUNDS, PAIRS, RATE = 20_000, 300, 150, 8, 0.08
 BINS, PAIR_BINS, LEAVES, LEAST_ROWS, RIDGE = 32, 8, 3, 15, 2.0
 THRESHOLD = 0.7
+#: Rows that are worked on, and handed out, together.
+ROWS = 1000
 
 FEATURES = (
     "log_words", "word_chars", "distinct_words", "top_word", "next_same", "symbols", "word_end_symbols", "lone_symbols", "digits", "capitals",
@@ -203,7 +205,7 @@ def fit(x: np.ndarray, y: np.ndarray) -> Gam:
 
 def _measure(batches: Iterator[pa.RecordBatch], at: int) -> Iterator[pa.RecordBatch]:
     """Label and features of labelled rows."""
-    for batch in batches:
+    for batch in (b.slice(k, ROWS) for b in batches for k in range(0, b.num_rows, ROWS)):
         rows = [features(t or "") for t in batch.column(at).to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.float64()))], ["label", "x"])
 
@@ -222,10 +224,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def _score(batches: Iterator[pa.RecordBatch], model: Gam, at: int, name: str) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        if batch.num_rows:
-            x = np.array([features(t or "") for t in batch.column(at).to_pylist()], float)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(model.score(x), pa.float64())], [*batch.schema.names, name])
+    for batch in (b.slice(k, ROWS) for b in batches for k in range(0, b.num_rows, ROWS)):
+        x = np.array([features(t or "") for t in batch.column(at).to_pylist()], float)
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(model.score(x), pa.float64())], [*batch.schema.names, name])
+    pa.default_memory_pool().release_unused()
 
 
 def score(df: DataFrame, model: Gam, text_col: str = "text") -> DataFrame:

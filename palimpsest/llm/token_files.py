@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm.bpe import BEYOND, BLANK, DIGIT, LETTER, slices, vocabulary
+from palimpsest.llm.bpe import BEYOND, BLANK, DIGIT, LETTER, Recent, slices, vocabulary
 from palimpsest.llm.common import body
 from palimpsest.session import scratch, table
 
@@ -39,7 +39,8 @@ HEAD, CHECK, OWN, ENTRY = struct.Struct("<QI"), struct.Struct("<I"), struct.Stru
 #: The vocabulary's word rule over Latin-1, whose letters, digits and white space never change.
 LATIN_WORD = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTER}]+|[{DIGIT}]|[^{LETTER}{DIGIT}{BLANK}]+")
 CHUNK = re.compile("[^ \n]+")
-MOST_WORDS = 1_000_000
+#: Words that a worker learns before it forgets those it hasn't met since as many ago.
+MOST_WORDS = 250_000
 #: Records and bytes that a reader holds at once, a single longer record apart.
 READ_RECORDS, READ_BYTES = 4096, 16 << 20
 
@@ -56,7 +57,7 @@ class WordEncoder:
         self.whole.no_padding()
         self.ends = {i for token, i in self.whole.get_vocab(False).items() if token.endswith("</w>")}
         self.added = [t.content for t in self.whole.get_added_tokens_decoder().values()]
-        self.known: dict[str, bytes] = {}
+        self.known = Recent(MOST_WORDS)
         self.width = 2 if max(self.whole.get_vocab(True).values()) < 1 << 16 else 4
 
     def packed(self, ids: list[int]) -> bytes:
@@ -70,20 +71,19 @@ class WordEncoder:
         out, at = self.ids(" ".join(words)), 0
         cut = [i + 1 for i, x in enumerate(out) if x in self.ends]
         if len(cut) != len(words):
-            self.known |= {w: self.packed(self.ids(w)) for w in words}
+            self.known.update((w, self.packed(self.ids(w))) for w in words)
             return
         for word, to in zip(words, cut):
             self.known[word], at = self.packed(out[at:to]), to
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """Ids of each text as little-endian unsigned integers of `width` bytes."""
-        if len(self.known) > MOST_WORDS:
-            self.known.clear()
         cut = [None if any(a in t for a in self.added) else LATIN_WORD.findall(t.lower()) if BEYOND.search(t) is None else CHUNK.findall(t) for t in texts]
-        latin = {w for t, ws in zip(texts, cut) if ws and BEYOND.search(t) is None for w in ws}.difference(self.known)
+        new = self.known.unknown({w for ws in cut if ws for w in ws})
+        latin = sorted(w for w in new if BEYOND.search(w) is None and LATIN_WORD.fullmatch(w) and w == w.lower())
         if latin:
-            self.learn(sorted(latin))
-        for w in {w for t, ws in zip(texts, cut) if ws and BEYOND.search(t) for w in ws}.difference(self.known):
+            self.learn(latin)
+        for w in new.difference(latin):
             self.known[w] = self.packed(self.ids(w))
         for t, ws in zip(texts, cut):
             yield self.packed(self.ids(t)) if ws is None else b"".join(map(self.known.__getitem__, ws))
@@ -137,9 +137,9 @@ def write_part(batches: Iterator[pa.RecordBatch], folder: str, path: str, end_id
     low, high = first.column(0)[0].as_py(), None
     with filesystem.open_output_stream(f"{name}.rec{mark}") as out, filesystem.open_output_stream(f"{name}.idx{mark}") as index:
         for batch in chain([first], batches):
-            own, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
-            for a, b in slices(texts):
-                for doc, body_ in zip(own[a:b], encoder.encode(texts[a:b])):
+            own = batch.column(0).to_pylist()
+            for a, texts in slices(batch.column(1)):
+                for doc, body_ in zip(own[a:], encoder.encode(texts)):
                     framed = record(OWN.pack(encoder.width << 1 | (doc is not None), doc or 0) + body_ + end)
                     index.write(ENTRY.pack(at, ids))
                     out.write(framed)
