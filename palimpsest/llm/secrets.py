@@ -42,7 +42,7 @@ def labelled(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     texts = docs.join(F.broadcast(ids.distinct()), F.col(id_col).eqNullSafe(F.col("own")), "left_semi").select(F.regexp_extract_all(body(text_col), F.lit("[A-Za-z0-9]+"), F.lit(0)).alias("w"))
     mate = lambda w, i: F.coalesce(F.get(w, i + 1), F.lit(""))
     joined = F.transform("w", lambda x, i: F.concat(x, F.element_at(F.array(*map(F.lit, ("_", "-", "", "/", ""))), (i % 5 + 1).cast("int")), mate(F.col("w"), i)))
-    plain = texts.select(F.explode(F.concat("w", joined)).alias("sample")).filter(~F.col("sample").rlike("(?=[0-9a-fA-F]*[0-9])(?=[0-9a-fA-F]*[a-fA-F])^[0-9a-fA-F]{16,}$"))
+    plain = texts.select(F.explode(F.concat("w", joined)).alias("sample")).filter(~F.col("sample").rlike("^(?=[0-9a-fA-F]*+$)(?=[a-fA-F]*+[0-9])(?=[0-9]*+[a-fA-F]).{16,}"))
     digits = spark.range(SAMPLE_RANDOM).select(F.concat(F.substring(F.conv(F.substring(F.md5(F.col("id").cast("string").cast("binary")), 1, 14), 16, 10), 1, 12), F.element_at(F.array(*map(F.lit, ("", "-555-0100", "-01-31", "_1"))), (F.col("id") % 4 + 1).cast("int"))).alias("sample"))
     raw = F.unhex(F.sha2(F.concat(F.lit("r"), F.col("id").cast("string")).cast("binary"), 256))
     random = spark.range(SAMPLE_RANDOM).select(
@@ -53,8 +53,9 @@ def labelled(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 def train(samples: DataFrame) -> list[float]:
     """Log ratio of each step from letter a to letter b, at a * len(ALPHABET) + b; the table's size is fixed."""
-    steps = F.transform(F.sequence(F.lit(1), F.length("sample") - 1), lambda i: F.substring("sample", i, F.lit(2)))
-    counted = samples.filter(F.length("sample") > 1).select("random", F.explode(steps).alias("step")).groupBy("random", "step").count().collect()
+    chars = samples.select("random", F.filter(F.split("sample", ""), lambda c: c != "").alias("c")).filter(F.size("c") > 1)
+    steps = F.zip_with(F.slice("c", F.lit(1), F.size("c") - 1), F.slice("c", F.lit(2), F.size("c") - 1), lambda a, b: F.concat(a, b))
+    counted = chars.select("random", F.explode(steps).alias("step")).groupBy("random", "step").count().collect()
     n = len(ALPHABET)
     counts = {True: [0.5] * (n * n), False: [0.5] * (n * n)}
     for row in counted:
@@ -68,8 +69,9 @@ def train(samples: DataFrame) -> list[float]:
 def ratio(run: Column, model: list[float]) -> Column:
     """Log-likelihood ratio of a string of ALPHABET's letters."""
     n, known = len(ALPHABET), F.array(*map(F.lit, model))
-    place = lambda i: F.position(F.substring(run, i, F.lit(1)), F.lit(ALPHABET)) - 1
-    return F.aggregate(F.sequence(F.lit(1), F.length(run) - 1), F.lit(0.0), lambda s, i: s + F.element_at(known, place(i) * n + place(i + 1) + 1))
+    places = F.transform(F.filter(F.split(run, ""), lambda c: c != ""), lambda c: F.position(c, F.lit(ALPHABET)) - 1)
+    steps = lambda p: F.zip_with(F.slice(p, F.lit(1), F.size(p) - 1), F.slice(p, F.lit(2), F.size(p) - 1), lambda a, b: F.element_at(known, a * n + b + 1))
+    return F.aggregate(F.flatten(F.transform(F.array(places), steps)), F.lit(0.0), lambda s, x: s + x)
 
 
 def found(text: Column, pattern: str, kind: int, hint: str | None = None, group: int = 0, passes=None) -> Column:
@@ -100,7 +102,7 @@ def scan(df: DataFrame, model: list[float], text_col: str = "text") -> DataFrame
     text = body(text_col)
     patterns = [found(text, ASSIGN, 0, ASSIGN_HINT, 2, lambda v: F.length(v) >= 8), found(text, ACCESS, 1, passes=lambda v: F.length(v) >= 16), found(text, HEX, 2)]
     rows = df.withColumn(base, F.concat(*patterns))
-    odd = lambda v: (lambda r: (r >= LEAST_RATIO) & (r >= LEAST_MEAN * F.length(v)))(ratio(v, model))
+    odd = lambda v: F.exists(F.array(ratio(v, model)), lambda r: (r >= LEAST_RATIO) & (r >= LEAST_MEAN * F.length(v)))
     runs = found(text, RUN, 3, passes=odd)
     return rows.withColumn(added, F.filter(runs, lambda r: ~F.exists(F.col(base), lambda b: (b["start"] < r["end"]) & (r["start"] < b["end"]))))
 
