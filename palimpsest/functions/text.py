@@ -137,3 +137,8 @@ def shard_path(lang: Column | str, page_id: Column | str) -> Column:
     page = _col(page_id)
     whole = lambda n: F.floor(page / n).cast("string")
     return F.concat_ws("/", _col(lang), whole(1_000_000), whole(1_000), page.cast("string"))
+
+
+def title_url(title: Column | str) -> Column:
+    """A title as a part of an address: underscores for spaces, the rest percent-encoded."""
+    return F.url_encode(title_key(title))

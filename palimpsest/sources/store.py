@@ -118,3 +118,9 @@ class Store:
 
     def paths(self) -> DataFrame:
         return self.state.select("lang", "page_id").distinct().withColumn("path", shard_path("lang", "page_id"))
+
+    def file_sizes(self) -> DataFrame:
+        """(part, files, bytes) of what is stored, by state and index."""
+        files = self.spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(self.root).select("path", "length")
+        part = F.when(F.col("path").contains("/index/"), "index").otherwise("state")
+        return files.groupBy(part.alias("part")).agg(F.count("*").alias("files"), F.sum("length").alias("bytes"))

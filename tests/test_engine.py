@@ -51,6 +51,8 @@ def test_store_resume_and_serving(spark, lines, tmp_path):
     assert sorted(map(str, kept.pages([("de", 8)]).collect())) == first
     assert [(r["lang"], r["articles"], r["entries"]) for r in kept.rebuild_index().orderBy("lang").collect()] == [("de", 1, 2), ("en", 1, 3)]
     assert [r["lang"] for r in kept.languages().collect()] == ["de", "en"] and store.out_of_order(kept.index).count() == 0
+    sizes = {r["part"]: (r["files"], r["bytes"]) for r in kept.file_sizes().collect()}
+    assert set(sizes) == {"index", "state"} and all(n > 0 and b > 0 for n, b in sizes.values())
     assert [r["path"] for r in kept.paths().filter("lang = 'en'").collect()] == ["en/0/0/7"]
 
     service = serving.Service(kept, spark.createDataFrame([(2, "ann"), (3, "bob")], "user_id long, user_name string"), rows)
