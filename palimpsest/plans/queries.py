@@ -14,7 +14,7 @@ from palimpsest.operators import annotate, differ
 from palimpsest.operators.attribute import Tables, attribute, resume
 from palimpsest.plans import compare, histories, sql, views
 from palimpsest.plans.histories import GROWING, TURNS
-from palimpsest.session import materialize, scratch, table
+from palimpsest.session import materialize, scratch, spread, table
 from palimpsest.sources import changes, store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -48,7 +48,7 @@ t AS (SELECT doc_id, n_paragraphs, len(s) AS n_sentences, flatten(list_transform
 SELECT doc_id, n_paragraphs::BIGINT AS n_paragraphs, n_sentences::BIGINT AS n_sentences, len(t)::BIGINT AS n_tokens, len(list_distinct(t))::BIGINT AS n_distinct FROM t""")
 def text_counts(spark, sf_dir):
     """Paragraphs, sentences, tokens and distinct tokens of every document."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", X.paragraph_texts(F.lower(F.coalesce("text", F.lit("")))).alias("p"))
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", X.paragraph_texts(F.lower(F.coalesce("text", F.lit("")))).alias("p"))
     docs = docs.select("doc_id", F.size("p").alias("n_paragraphs"), F.flatten(F.transform("p", X.sentence_texts)).alias("s"))
     docs = docs.select("doc_id", "n_paragraphs", F.size("s").alias("n_sentences"), F.flatten(F.transform("s", X.tokens)).alias("t"))
     long = lambda c: c.cast("long")
@@ -62,7 +62,7 @@ a AS (SELECT doc_id, avg(n) AS density FROM c WHERE token NOT IN ({sql.STRUCTURA
 SELECT doc_id, coalesce(density, 0.0) AS density, coalesce(density, 0.0) > 20 AS dense FROM documents LEFT JOIN a USING (doc_id)""")
 def token_density(spark, sf_dir):
     """Mean count of the distinct tokens of a document, and whether the density rule would reject it."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", X.all_tokens(F.lower(F.coalesce("text", F.lit("")))).alias("t"))
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", X.all_tokens(F.lower(F.coalesce("text", F.lit("")))).alias("t"))
     counts = docs.select("doc_id", F.explode_outer("t").alias("token")).groupBy("doc_id", "token").agg(F.count("token").alias("n"))
     kept = F.when(F.col("token").isNotNull() & ~F.col("token").isin(sql.R.STRUCTURAL), F.col("n"))
     return counts.groupBy("doc_id").agg(F.coalesce(F.avg(kept), F.lit(0.0)).alias("density")).withColumn("dense", F.col("density") > sql.R.DENSITY_LIMIT)

@@ -48,3 +48,17 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+#: Bytes of an input that is worth dealing out before heavy work on its rows.
+SPREAD_BYTES = 1 << 30
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A small input in fewer files than there are cores, dealt out to all of them; any other as it is.
+
+    A file of one row group is one task's work however it is split. Large inputs have enough of them and aren't moved.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size <= SPREAD_BYTES and len(df.inputFiles()) < cores else df
