@@ -46,7 +46,7 @@ def _is_set(bits: str, slot: str) -> Column:
 
 def decide(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`df` with keep_id, group_size, kept and text_sha256: of equal texts the row with the largest id stays."""
-    names = {n: fresh(df, n) for n in ("keep_id", "group_size", "kept", "text_sha256", "s0", "s1", "p0", "p1", "b0", "b1", "maybe", "hk", "hn", "rk", "rn")}
+    names = {n: fresh(df, n) for n in ("keep_id", "group_size", "kept", "text_sha256", "s0", "s1", "p0", "p1", "b0", "b1", "maybe", "hk", "hn", "rk", "rn", "hkg", "rkg")}
     n = names.__getitem__
     total = df.count()
     slots = 1 << max(10, min(MOST_SLOTS.bit_length() - 1, (max(1, total) * SLOTS_PER_ROW - 1).bit_length()))
@@ -61,11 +61,11 @@ def decide(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     sha, maybe = n("text_sha256"), F.col(n("maybe"))
     groups = materialize(rows.filter(maybe).groupBy(F.col(sha).alias("g")).agg(F.max(id_col).alias("k"), F.count("*").alias("c")).filter("c > 1"), "exact-groups")
     hot = max(HOT_LEAST, total // HOT_SHARE)
-    named = lambda part, k, c: part.select(F.col("g").alias(n(k) + "g"), F.struct(F.col("k").alias("k")).alias(n(k)), F.col("c").alias(n(c)))
-    rows = rows.join(F.broadcast(named(groups.filter(F.col("c") > hot), "hk", "hn")), F.col(sha) == F.col(n("hk") + "g"), "left")
+    named = lambda part, k, c: part.select(F.col("g").alias(n(k + "g")), F.struct(F.col("k").alias("k")).alias(n(k)), F.col("c").alias(n(c)))
+    rows = rows.join(F.broadcast(named(groups.filter(F.col("c") > hot), "hk", "hn")), F.col(sha) == F.col(n("hkg")), "left")
     through = rows.filter(~maybe | F.col(n("hn")).isNotNull()).withColumns({n("rk"): F.col(n("hk")), n("rn"): F.col(n("hn"))})
-    moved = rows.filter(maybe & F.col(n("hn")).isNull()).join(named(groups.filter(F.col("c") <= hot), "rk", "rn"), F.col(sha) == F.col(n("rk") + "g"), "left")
-    both = through.unionByName(moved.drop(n("rk") + "g"))
+    moved = rows.filter(maybe & F.col(n("hn")).isNull()).join(named(groups.filter(F.col("c") <= hot), "rk", "rn"), F.col(sha) == F.col(n("rkg")), "left")
+    both = through.unionByName(moved.drop(n("rkg")))
     keep = F.when(F.col(n("rn")).isNull(), F.col(id_col)).otherwise(F.col(n("rk"))["k"])
     return both.select(
         *df.columns, keep.alias(n("keep_id")), F.coalesce(n("rn"), F.lit(1)).cast("long").alias(n("group_size")),

@@ -339,12 +339,12 @@ def repeated_starts(docs: DataFrame, most: int = MOST) -> DataFrame:
 
 def remove(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = MOST) -> DataFrame:
     """`df` with n_bytes, removed (array of start, end in bytes) and kept (binary)."""
-    n = {x: fresh(df, x) for x in ("id", "print", "starts", "n_bytes", "removed", "kept")}
+    n = {x: fresh(df, x) for x in ("id", "print", "idr", "printr", "starts", "n_bytes", "removed", "kept")}
     own = F.coalesce(F.col(id_col).cast("long"), F.lit(0))
     mark = F.xxhash64(F.col(id_col).isNull(), own, body(text_col))
     docs = df.select(own.alias("id"), mark.alias("print"), body(text_col).alias("text"))
-    starts = repeated_starts(docs.filter(F.octet_length("text") >= LENGTH), most).groupBy(F.col("id").alias(n["id"] + "r"), F.col("print").alias(n["print"] + "r")).agg(F.collect_list(F.struct("first", "last")).alias(n["starts"]))
-    rows = df.withColumns({n["id"]: own, n["print"]: mark}).join(starts, (F.col(n["id"]) == F.col(n["id"] + "r")) & (F.col(n["print"]) == F.col(n["print"] + "r")), "left").select(*df.columns, n["starts"])
+    starts = repeated_starts(docs.filter(F.octet_length("text") >= LENGTH), most).groupBy(F.col("id").alias(n["idr"]), F.col("print").alias(n["printr"])).agg(F.collect_list(F.struct("first", "last")).alias(n["starts"]))
+    rows = df.withColumns({n["id"]: own, n["print"]: mark}).join(starts, (F.col(n["id"]) == F.col(n["idr"])) & (F.col(n["print"]) == F.col(n["printr"])), "left").select(*df.columns, n["starts"])
     out = [n["n_bytes"], n["removed"], n["kept"]]
     fields = T.StructType([*df.schema.fields, T.StructField(out[0], T.LongType()), T.StructField(out[1], T._parse_datatype_string("array<struct<start:bigint,end:bigint>>")), T.StructField(out[2], T.BinaryType())])
     return rows.mapInArrow(partial(_removed, at=df.columns.index(text_col), names=[*df.columns, *out]), fields)

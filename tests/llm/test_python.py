@@ -1,6 +1,5 @@
 """The operators with Python on the executors: classifier, BPE, suffix-array dedup, token files, near duplicates, preferences."""
 
-import hashlib
 import random
 import re
 import struct
