@@ -5,7 +5,8 @@ encoding of the bytes on its path. That token is a suffix of the path; it is the
 predecessor (the last token of the ancestor where it starts) the way byte-pair merging would leave the two side by
 side. So each prefix that words share is encoded once, and a word's ids are read back along the ancestors.
 
-Whether two tokens stay side by side is found by merging their bytes alone, once for each pair and worker.
+Whether two tokens stay side by side is told by the ranks of what stands at their seam while they are merged, once for
+each pair and worker.
 
 Words are what the byte-level pre-tokenizer cuts a text into. For texts of Latin-1 characters, whose classes never
 change, one expression here cuts them; other texts are cut into pieces (white space and what follows it) at which
@@ -39,11 +40,11 @@ LETTER, DIGIT, BLANK = "A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼½¾", "\t\n\x
 LATIN_WORD = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTER}]+| ?[{DIGIT}]+| ?[^{LETTER}{DIGIT}{BLANK}]+|[{BLANK}]+(?![^{BLANK}])|[{BLANK}]+")
 BEYOND = re.compile("[^\x00-\xff]")
 #: Words that a worker learns before it forgets those it hasn't met since as many ago; token pairs before it starts anew.
-MOST_WORDS, MOST_PAIRS = 100_000, 250_000
+MOST_WORDS, MOST_PAIRS = 150_000, 300_000
 #: Rows and text characters of a batch that goes back to Spark.
-BATCH_ROWS, BATCH_CHARS = 1_000, 1_000_000
+BATCH_ROWS, BATCH_CHARS = 1_000, 1_500_000
 #: Words of one trie.
-TRIE_WORDS = 10_000
+TRIE_WORDS = 20_000
 
 
 class Recent(dict):
@@ -77,8 +78,6 @@ class TrieBpe:
     """A byte-level BPE vocabulary file of the tokenizers library, without normalizer or dropout."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
         spec = json.load(open(path, encoding="utf-8"))
         model, kind = spec["model"], spec["pre_tokenizer"]["type"]
         if model["type"] != "BPE" or kind != "ByteLevel" or spec["normalizer"] or model["dropout"] or model["end_of_word_suffix"] or model["continuing_subword_prefix"]:
@@ -88,12 +87,17 @@ class TrieBpe:
         self.ids = {raw(t): i for t, i in model["vocab"].items()}
         merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
         self.ranks = {(raw(a), raw(b)): r for r, (a, b) in enumerate(merges)}
+        self.parts = {self.ids[a + b]: (self.ids[a], self.ids[b], r) for (a, b), r in self.ranks.items()}
+        self.joins = {self.ids[a] << 24 | self.ids[b]: r for (a, b), r in self.ranks.items()}
+        if len(self.parts) < len(merges) or any(r <= max(self.parts.get(x, (0, 0, -1))[2] for x in (a, b)) for a, b, r in self.parts.values()):
+            raise ValueError("merges that make a token twice, or before its parts")
+        self.edges: tuple[dict, dict] = ({}, {})
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         if any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in spec["added_tokens"]):
             raise ValueError("added tokens that take in their surroundings")
         self.bytes_of = {i: b for b, i in self.ids.items()} | {i: t.encode() for t, i in self.added.items()}
         self.stop = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
-        self.words_of = Tokenizer.from_file(path).pre_tokenizer.pre_tokenize_str
+        self.path, self.words_of = path, None
         self.endings: dict = {}  # the tokens as a trie of their bytes read backwards; -1: the id
         for token, i in self.ids.items():
             node = self.endings
@@ -113,14 +117,34 @@ class TrieBpe:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
+    def edge(self, token: int, side: int) -> tuple[tuple[int, int], ...]:
+        """What stands at a token's left (0) or right (1) end while its bytes merge: (token, rank of the merge that takes it in)."""
+        if (known := self.edges[side].get(token)) is None:
+            at, end, out = token, 1 << 30, []
+            while True:
+                out.append((at, end))
+                if at not in self.parts:
+                    break
+                at, end = self.parts[at][side], self.parts[at][2]
+            known = self.edges[side][token] = tuple(out)
+        return known
+
     def follows(self, before: int, token: int) -> bool:
-        """Whether merging leaves the two tokens as they are; before: -1 at a word's start."""
+        """Whether merging leaves the two tokens as they are; before: -1 at a word's start.
+
+        A merge across the seam happens if its rank is below that of the merge that takes in what is to the left of the seam,
+        and not above that on the right (of equal ranks the left goes first). A token's rank is above that of its parts.
+        """
         key = (before + 1) << 24 | token
         if (known := self.pairs.get(key)) is None:
             if len(self.pairs) > MOST_PAIRS:
                 self.pairs.clear()
-            two = [*([self.bytes_of[before]] if before >= 0 else []), self.bytes_of[token]]
-            known = self.pairs[key] = self.merged(b"".join(two)) == two
+            if before < 0:
+                known = self.merged(self.bytes_of[token]) == [self.bytes_of[token]]
+            else:
+                rank = self.joins.get
+                known = not any((r := rank(x << 24 | y)) is not None and r < ex and r <= ey for x, ex in self.edge(before, 1) for y, ey in self.edge(token, 0))
+            self.pairs[key] = known
         return known
 
     def encode_words(self, words: set[bytes]) -> dict[bytes, tuple[int, ...]]:
@@ -135,13 +159,13 @@ class TrieBpe:
             node[-1] = word
         out: dict[bytes, tuple[int, ...]] = {}
         pairs, follows, endings = self.pairs, self.follows, self.endings
-        path, last, sizes = bytearray(), [-1], [0]  # of the prefix of each length: its last token, that token's bytes
+        most = max(map(len, words), default=0) + 1
+        path, last, sizes = [0] * most, [-1] * most, [0] * most  # by length of prefix: last byte, last token, that token's bytes
         todo: list[tuple[int, int, dict]] = [(0, -1, root)]
         while todo:
             depth, byte, node = todo.pop()
             if depth:
-                del path[depth - 1 :], last[depth:], sizes[depth:]
-                path.append(byte)
+                path[depth - 1] = byte
                 start, ending, fit = depth, endings, None
                 while start and (ending := ending.get(path[start - 1])) is not None:
                     start -= 1
@@ -151,9 +175,8 @@ class TrieBpe:
                             fit = token
                             break
                 if fit is None:
-                    raise ValueError(f"no token ends {bytes(path)!r}")
-                last.append(fit)
-                sizes.append(depth - start)
+                    raise ValueError(f"no token ends {bytes(path[:depth])!r}")
+                last[depth], sizes[depth] = fit, depth - start
             for key, below in node.items():
                 if key == -1:
                     at, back = depth, []
@@ -169,6 +192,10 @@ class TrieBpe:
         """The words of a text without added tokens."""
         if BEYOND.search(text) is None:
             return LATIN_WORD.findall(text)
+        if self.words_of is None:
+            from tokenizers import Tokenizer
+
+            self.words_of = Tokenizer.from_file(self.path).pre_tokenizer.pre_tokenize_str
         letters = self.letters.__getitem__
         return [bytes(map(letters, w)).decode() for p in PIECE.findall(text) for w, _ in self.words_of(p)]
 
