@@ -5,8 +5,10 @@ counted from labelled samples. A long run of those letters is a secret if it is
 log-likelihood ratio reaches LEAST_RATIO nats and LEAST_MEAN for each letter. Runs that touch a pattern's match are
 left to the pattern, whose spans always stay.
 
-Samples: random strings are written by hashing numbers, in several alphabets; ordinary ones are words, joined words
-and numbers of at most SAMPLE_DOCS documents, those with the lowest hash of their id. Every document is scanned whole.
+Samples: random strings are written by hashing numbers, in several alphabets; ordinary ones are numbers and the distinct
+words of all documents, each counted once however often it occurs, alone and joined to any other, so copies of a text don't
+weigh in. Words inside a pattern's match are left out, and so are the long ones that a first model, of all, finds odd.
+Many secrets that no pattern knows, against few words, can still hide each other.
 
 Defined results: a null text is an empty one, without spans. Only mapped rows, so repeats, ties, empty tables and
 clashing names need no care. Placing m matches in one text takes time that grows as m squared, with a small factor.
@@ -20,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.llm.common import body, fresh
-from palimpsest.session import table
+from palimpsest.session import materialize, table
 
 #: (kind, pattern, what the match must pass) in the order in which spans with one start are listed.
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -28,21 +30,30 @@ ASSIGN_HINT = r"""(?i)(password|passwd|secret|token|key)["']?\x20*[:=]"""
 ACCESS, HEX = "AKIA[A-Z0-9]+", "[0-9a-f]{32,}"  # a shorter run has no part of 32, so this is all runs with the rest dropped
 KINDS = ("assign", "access", "hex", "markov")
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
-RUN = "[A-Za-z0-9+/_=-]{20,}"
+LEAST_RUN = 20
+RUN = f"[A-Za-z0-9+/_=-]{{{LEAST_RUN},}}"
 LEAST_RATIO, LEAST_MEAN = 20.0, 1.0
-SAMPLE_DOCS, SAMPLE_RANDOM = 2_000, 20_000
+SAMPLE_RANDOM = 20_000
+JOINS = ("_", "-", "", "/", "")
 
 SPANS = "array<struct<start:int,kind:int,end:int>>"
 
 
-def labelled(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(random: boolean, sample) of at most SAMPLE_DOCS documents and SAMPLE_RANDOM numbers."""
-    spark = docs.sparkSession
-    ids = docs.select(F.col(id_col).alias("own")).orderBy(F.xxhash64("own"), "own").limit(SAMPLE_DOCS)
-    texts = docs.join(F.broadcast(ids.distinct()), F.col(id_col).eqNullSafe(F.col("own")), "left_semi").select(F.regexp_extract_all(body(text_col), F.lit("[A-Za-z0-9]+"), F.lit(0)).alias("w"))
-    mate = lambda w, i: F.coalesce(F.get(w, i + 1), F.lit(""))
-    joined = F.transform("w", lambda x, i: F.concat(x, F.element_at(F.array(*map(F.lit, ("_", "-", "", "/", ""))), (i % 5 + 1).cast("int")), mate(F.col("w"), i)))
-    plain = texts.select(F.explode(F.concat("w", joined)).alias("sample")).filter(~F.col("sample").rlike("^(?=[0-9a-fA-F]*+$)(?=[a-fA-F]*+[0-9])(?=[0-9]*+[a-fA-F]).{16,}"))
+def outside(text: Column, spans: Column) -> Column:
+    """The text with a space for what the spans cover."""
+    none = F.array().cast("array<string>")
+    cut = lambda so_far, x: F.struct(F.greatest(so_far["at"], x["end"]).alias("at"), F.concat(so_far["kept"], F.array(F.substring(text, so_far["at"] + 1, F.greatest(x["start"] - so_far["at"], F.lit(0))))).alias("kept"))
+    rest = lambda s: F.concat(s["kept"], F.array(F.substring(text, s["at"] + 1, F.length(text))))
+    return F.when(F.size(spans) > 0, F.array_join(F.aggregate(F.sort_array(spans), F.struct(F.lit(0).alias("at"), none.alias("kept")), cut, rest), " ")).otherwise(text)
+
+
+def labelled(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """(random: boolean, sample) of SAMPLE_RANDOM numbers and the distinct words of all documents, these between two spaces."""
+    spark, text = docs.sparkSession, body(text_col)
+    texts = docs.select(text.alias("text"), F.concat(*patterns(text)).alias("spans")).select(outside(F.col("text"), F.col("spans")).alias("text"))
+    words = texts.select(F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("[A-Za-z0-9]+"), F.lit(0)))).alias("w")).distinct()
+    words = materialize(words, "secret-words")
+    plain = words.filter(~F.col("w").rlike("^(?=[0-9a-fA-F]*+$)(?=[a-fA-F]*+[0-9])(?=[0-9]*+[a-fA-F]).{16,}")).select(F.concat(F.lit(" "), "w", F.lit(" ")).alias("sample"))
     digits = spark.range(SAMPLE_RANDOM).select(F.concat(F.substring(F.conv(F.substring(F.md5(F.col("id").cast("string").cast("binary")), 1, 14), 16, 10), 1, 12), F.element_at(F.array(*map(F.lit, ("", "-555-0100", "-01-31", "_1"))), (F.col("id") % 4 + 1).cast("int"))).alias("sample"))
     raw = F.unhex(F.sha2(F.concat(F.lit("r"), F.col("id").cast("string")).cast("binary"), 256))
     random = spark.range(SAMPLE_RANDOM).select(
@@ -52,16 +63,41 @@ def labelled(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def train(samples: DataFrame) -> list[float]:
-    """Log ratio of each step from letter a to letter b, at a * len(ALPHABET) + b; the table's size is fixed."""
-    chars = samples.select("random", F.filter(F.split("sample", ""), lambda c: c != "").alias("c")).filter(F.size("c") > 1)
+    """Log ratio of each step from letter a to letter b, at a * len(ALPHABET) + b; the table's size is fixed.
+
+    A sample between spaces counts alone, before and after a word drawn from all such samples, joined by one of JOINS. If
+    they are fewer than SAMPLE_RANDOM, all weigh more alike, as so many; else the flat start of the counts would drown them.
+    Those of LEAST_RUN letters or more that are odd by a first model, of all samples, are left out of the second.
+    """
+    long = F.col("sample").startswith(" ") & (F.length("sample") >= LEAST_RUN + 2)
+    return fit(samples.filter(~long | ~odd(F.trim("sample"), fit(samples))))
+
+
+def fit(samples: DataFrame) -> list[float]:
+    chars = samples.select("random", F.col("sample").startswith(" ").alias("joins"), F.filter(F.split("sample", ""), lambda c: c != "").alias("c")).filter(F.size("c") > 1)
     steps = F.zip_with(F.slice("c", F.lit(1), F.size("c") - 1), F.slice("c", F.lit(2), F.size("c") - 1), lambda a, b: F.concat(a, b))
-    counted = chars.select("random", F.explode(steps).alias("step")).groupBy("random", "step").count().collect()
+    counted = chars.select("random", "joins", F.explode(steps).alias("step")).groupBy("random", "joins", "step").count().collect()
     n = len(ALPHABET)
     counts = {True: [0.5] * (n * n), False: [0.5] * (n * n)}
+    starts, ends = [0.0] * n, [0.0] * n
+    weight = max(1.0, SAMPLE_RANDOM / max(1, sum(row["count"] for row in counted if row["step"][0] == " ")))
     for row in counted:
         a, b = ALPHABET.find(row["step"][0]), ALPHABET.find(row["step"][1])
         if a >= 0 and b >= 0:
-            counts[row["random"]][a * n + b] += row["count"]
+            counts[row["random"]][a * n + b] += row["count"] * (3 * weight if row["joins"] else 1)
+        elif b >= 0:
+            starts[b] += row["count"] * weight
+        elif a >= 0:
+            ends[a] += row["count"] * weight
+    for join in JOINS:
+        at = ALPHABET.find(join) if join else None
+        for a in range(n):
+            if join:
+                counts[False][a * n + at] += ends[a] / len(JOINS)
+                counts[False][at * n + a] += starts[a] / len(JOINS)
+            else:
+                for b in range(n):
+                    counts[False][a * n + b] += ends[a] * starts[b] / max(sum(starts), 1) / len(JOINS)
     chance = {k: [math.log(v / sum(c[i // n * n : i // n * n + n])) for i, v in enumerate(c)] for k, c in counts.items()}
     return [a - b for a, b in zip(chance[True], chance[False])]
 
@@ -74,6 +110,10 @@ def ratio(run: Column, model: list[float]) -> Column:
     return F.aggregate(F.flatten(F.transform(F.array(places), steps)), F.lit(0.0), lambda s, x: s + x)
 
 
+def odd(run: Column, model: list[float]) -> Column:
+    return F.exists(F.array(ratio(run, model)), lambda r: (r >= LEAST_RATIO) & (r >= LEAST_MEAN * F.length(run)))
+
+
 def found(text: Column, pattern: str, kind: int, hint: str | None = None, group: int = 0, passes=None) -> Column:
     """Spans of a pattern's leftmost matches that don't overlap, from the texts between and the matches' lengths."""
     none = F.array().cast(SPANS)
@@ -91,6 +131,10 @@ def found(text: Column, pattern: str, kind: int, hint: str | None = None, group:
     return F.when(text.rlike(hint or pattern), spans).otherwise(none)
 
 
+def patterns(text: Column) -> list[Column]:
+    return [found(text, ASSIGN, 0, ASSIGN_HINT, 2, lambda v: F.length(v) >= 8), found(text, ACCESS, 1, passes=lambda v: F.length(v) >= 16), found(text, HEX, 2)]
+
+
 def listed(spans: Column) -> Column:
     names = F.array(*map(F.lit, KINDS))
     return F.array_join(F.transform(F.sort_array(spans), lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"].cast("string"), s["end"].cast("string"))), ",")
@@ -100,10 +144,8 @@ def scan(df: DataFrame, model: list[float], text_col: str = "text") -> DataFrame
     """`df` with base_spans and added_spans: arrays of (start, kind, end) in code points; kind is a place in KINDS."""
     base, added = fresh(df, "base_spans"), fresh(df, "added_spans")
     text = body(text_col)
-    patterns = [found(text, ASSIGN, 0, ASSIGN_HINT, 2, lambda v: F.length(v) >= 8), found(text, ACCESS, 1, passes=lambda v: F.length(v) >= 16), found(text, HEX, 2)]
-    rows = df.withColumn(base, F.concat(*patterns))
-    odd = lambda v: F.exists(F.array(ratio(v, model)), lambda r: (r >= LEAST_RATIO) & (r >= LEAST_MEAN * F.length(v)))
-    runs = found(text, RUN, 3, passes=odd)
+    rows = df.withColumn(base, F.concat(*patterns(text)))
+    runs = found(text, RUN, 3, passes=lambda v: odd(v, model))
     return rows.withColumn(added, F.filter(runs, lambda r: ~F.exists(F.col(base), lambda b: (b["start"] < r["end"]) & (r["start"] < b["end"]))))
 
 

@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import math
 import random
 import re
 from collections import Counter
@@ -163,3 +164,28 @@ def test_secret_scan(spark):
     clash = secrets.scan(df.withColumn("base_spans", F.lit(1)), model)
     assert clash.columns[-2:] == ["base_spans_", "added_spans"] and fresh(df, "TEXT") == "TEXT_"
     assert secrets.scan(df.limit(0), secrets.train(secrets.labelled(df.limit(0)))).count() == 0
+
+
+def test_copies_and_known_secrets_do_not_weigh_in_the_model(spark):
+    random.seed(6)
+    parts = ["".join(random.choice(x) for x in ("bcdfghjklmnpqrstvwxyz", "aeiouy", "nrstlm")) for _ in range(70)]
+    plain = [" ".join("".join(random.choices(parts, k=3)).capitalize() if k % 2 else random.choice(parts) + random.choice(parts) + str(random.choice(["", k])) for k in range(80)) for _ in range(600)]
+    lost = base64.b64encode(hashlib.sha256(b"c").digest()).decode().replace("+", "x").replace("/", "y")[:32]
+    rare = [" ".join(f"rare{k * 7919 % 10_000}" for k in range(i, i + 3)) for i in range(2_100)]
+    others = [hashlib.sha256(str(i).encode()).digest() for i in range(30)]  # each once, and none that a pattern knows
+    others = ["".join(chr((65, 97)[b % 2] + b // 2 % 26) for b in x) for x in others]
+    texts = plain + [f"note {lost} end"] * 400 + [f"mail password={lost}zz7 and {'0f' * 20} out", None] + rare + [f"odd {x}" for x in others]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    words = {w for t in texts for w in re.findall("[A-Za-z0-9]+", t or "")} - {"password", f"{lost}zz7", "0f" * 20}
+    got = Counter(r["sample"] for r in secrets.labelled(df).filter("not random and sample like ' %'").collect())
+    assert got == Counter(f" {w} " for w in words)
+    few = spark.createDataFrame([(False, " ab "), (False, " b "), (False, "b-b"), (True, "ab")], "random boolean, sample string")
+    model, n, at = secrets.train(few), len(secrets.ALPHABET), secrets.ALPHABET.find
+    many = secrets.SAMPLE_RANDOM  # two words stand for so many; both end in b, one starts with it and one with a
+    from_b = {"-": 1 + many / 5, "_": many / 5, "/": many / 5, "a": many / 5, "b": many / 5}
+    total = 0.5 * n + sum(from_b.values())
+    assert all(abs(model[at("b") * n + at(c)] - (math.log(1 / n) - math.log((0.5 + from_b.get(c, 0)) / total))) < 1e-9 for c in "-_/abz")
+    model = secrets.train(secrets.labelled(df))
+    assert model == secrets.train(secrets.labelled(df.filter("text is null or text not like 'note%' or doc_id = 600")))
+    hits = secrets.scan(df.filter("text like 'note%' or text like 'odd%'"), model).select(secrets.listed(F.col("added_spans")).alias("s")).groupBy("s").count().collect()
+    assert {r["s"]: r["count"] for r in hits} == {"markov:5:37": 400, "markov:4:36": 30}
