@@ -189,6 +189,23 @@ def index_collisions(spark, sf_dir):
     return store.colliding(entries).select("rev_id", "n_pages")
 
 
+@query("""
+SELECT o_orderkey AS rev_id, count(*) AS n_asked, coalesce(any_value(c.conv_id), -1) AS page_id
+FROM orders LEFT JOIN conversations c ON c.conv_id * 100 + c.turn + 1 = o_orderkey GROUP BY o_orderkey""")
+def index_lookup_all(spark, sf_dir):
+    """Pages of the revisions that all orders ask for, over the whole index; the unknown have -1."""
+    asked = table(spark, sf_dir, "orders").select(F.lit("en").alias("lang"), F.col("o_orderkey").alias("rev_id")).groupBy("lang", "rev_id").agg(F.count("*").alias("n_asked"))
+    return store.lookup(histories.turns(spark, sf_dir), asked).select("rev_id", "n_asked", F.coalesce("page_id", F.lit(-1).cast("long")).alias("page_id"))
+
+
+@query("""
+SELECT l_orderkey AS rev_id, count(DISTINCT l_suppkey) AS n_pages FROM lineitem GROUP BY l_orderkey HAVING count(DISTINCT l_suppkey) > 1""")
+def index_collisions_all(spark, sf_dir):
+    """Revision ids that several pages claim; each line of an order is a claim by its supplier."""
+    entries = table(spark, sf_dir, "lineitem").select(F.lit("en").alias("lang"), F.col("l_orderkey").alias("rev_id"), F.col("l_suppkey").alias("page_id"))
+    return store.colliding(entries).select("rev_id", "n_pages")
+
+
 @query("""SELECT count(DISTINCT conv_id) AS articles, count(*) AS entries, 'en' AS lang FROM conversations""")
 def index_rebuild(spark, sf_dir):
     """Articles and entries of the index made from stored revisions; the turns history counted as stored."""

@@ -178,3 +178,25 @@ def test_html_annotation():
     assert html == "<!DOCTYPE html><script>var x = 'hello';</script><p class=\"a&quot;\">" + span(0, 1, "Hello") + "<br>" + span(1, 1, "wor") + "<i>ld</i> " + span(2, 2, "&lt;b&gt;") + " " + span(3, 2, "中国") + "&nbsp;x</p><!--c-->"
     assert editors == [("1", "1", 2), ("2", "2", 2)]
     assert [n for _, _, n in annotate_html("<p>a b c d a a b</p>", [(x, e, e) for x, e in zip("abcdaab", "1234112")])[1]] == [3, 2, 1, 1]
+
+
+def test_whole_index_is_asked_and_claimed(spark):
+    duckdb = pytest.importorskip("duckdb")
+    from palimpsest.plans.registry import ORACLES, QUERIES
+
+    d = "/root/testdata/sf0.01"
+    read = lambda t, *c: [tuple(r) for r in spark.read.parquet(f"{d}/{t}.parquet").select(*c).collect()]
+    index = {c * 100 + t + 1: c for c, t in read("conversations", "conv_id", "turn")}
+    claims = {}
+    for order, supplier in read("lineitem", "l_orderkey", "l_suppkey"):
+        claims.setdefault(order, set()).add(supplier)
+    want = {
+        "index_lookup_all": sorted((k, 1, index.get(k, -1)) for (k,) in read("orders", "o_orderkey")),
+        "index_collisions_all": sorted((k, len(v)) for k, v in claims.items() if len(v) > 1),
+    }
+    assert len({p for _, _, p in want["index_lookup_all"]}) > 6  # the folded keys reach five pages at most
+    con = duckdb.connect()
+    for t in ("orders", "lineitem", "conversations"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{d}/{t}.parquet'")
+    for name, rows in want.items():
+        assert sorted(map(tuple, QUERIES[name](spark, d).collect())) == rows == sorted(con.execute(ORACLES[name]).fetchall())
