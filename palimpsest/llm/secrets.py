@@ -1,9 +1,9 @@
 """Secret scans, in DataFrame operations only: fixed patterns, and a character Markov model for what they miss.
 
 Two first-order models over the letters of ALPHABET, one of random strings and one of ordinary identifiers, are
-counted from labelled samples. A long run of those letters is a secret if it is far likelier under the first: its
-log-likelihood ratio reaches LEAST_RATIO nats and LEAST_MEAN for each letter. Runs that touch a pattern's match are
-left to the pattern, whose spans always stay.
+counted from labelled samples. A run of LEAST_RUN of those letters or more is a secret if it is far likelier under the
+first: its log-likelihood ratio reaches LEAST_RATIO nats and LEAST_MEAN for each letter. Elsewhere, each part of LEAST_PART
+letters or more without / _ = - is judged alone. What a pattern matches is cut out first; its spans always stay.
 
 Samples: random strings are written by hashing numbers, in several alphabets; ordinary ones are numbers and the distinct
 words of all documents, each counted once however often it occurs, alone and joined to any other, so copies of a text don't
@@ -30,8 +30,8 @@ ASSIGN_HINT = r"""(?i)(password|passwd|secret|token|key)["']?\x20*[:=]"""
 ACCESS, HEX = "AKIA[A-Z0-9]+", "[0-9a-f]{32,}"  # a shorter run has no part of 32, so this is all runs with the rest dropped
 KINDS = ("assign", "access", "hex", "markov")
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
-LEAST_RUN = 20
-RUN = f"[A-Za-z0-9+/_=-]{{{LEAST_RUN},}}"
+LEAST_RUN, LEAST_PART = 20, 12
+RUN, PART = f"[A-Za-z0-9+/_=-]{{{LEAST_RUN},}}", f"[A-Za-z0-9+]{{{LEAST_PART},}}"
 LEAST_RATIO, LEAST_MEAN = 20.0, 1.0
 SAMPLE_RANDOM = 20_000
 JOINS = ("_", "-", "", "/", "")
@@ -40,11 +40,15 @@ SPANS = "array<struct<start:int,kind:int,end:int>>"
 
 
 def outside(text: Column, spans: Column) -> Column:
-    """The text with a space for what the spans cover."""
+    """The text with spaces, as many, for what the spans cover."""
     none = F.array().cast("array<string>")
-    cut = lambda so_far, x: F.struct(F.greatest(so_far["at"], x["end"]).alias("at"), F.concat(so_far["kept"], F.array(F.substring(text, so_far["at"] + 1, F.greatest(x["start"] - so_far["at"], F.lit(0))))).alias("kept"))
+
+    def cut(so_far: Column, x: Column) -> Column:
+        at, end = F.greatest(so_far["at"], x["start"]), F.greatest(so_far["at"], x["end"])
+        return F.struct(end.alias("at"), F.concat(so_far["kept"], F.array(F.substring(text, so_far["at"] + 1, at - so_far["at"]), F.repeat(F.lit(" "), end - at))).alias("kept"))
+
     rest = lambda s: F.concat(s["kept"], F.array(F.substring(text, s["at"] + 1, F.length(text))))
-    return F.when(F.size(spans) > 0, F.array_join(F.aggregate(F.sort_array(spans), F.struct(F.lit(0).alias("at"), none.alias("kept")), cut, rest), " ")).otherwise(text)
+    return F.when(F.size(spans) > 0, F.array_join(F.aggregate(F.sort_array(spans), F.struct(F.lit(0).alias("at"), none.alias("kept")), cut, rest), "")).otherwise(text)
 
 
 def labelled(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -67,9 +71,9 @@ def train(samples: DataFrame) -> list[float]:
 
     A sample between spaces counts alone, before and after a word drawn from all such samples, joined by one of JOINS. If
     they are fewer than SAMPLE_RANDOM, all weigh more alike, as so many; else the flat start of the counts would drown them.
-    Those of LEAST_RUN letters or more that are odd by a first model, of all samples, are left out of the second.
+    Those of LEAST_PART letters or more that are odd by a first model, of all samples, are left out of the second.
     """
-    long = F.col("sample").startswith(" ") & (F.length("sample") >= LEAST_RUN + 2)
+    long = F.col("sample").startswith(" ") & (F.length("sample") >= LEAST_PART + 2)
     return fit(samples.filter(~long | ~odd(F.trim("sample"), fit(samples))))
 
 
@@ -145,8 +149,12 @@ def scan(df: DataFrame, model: list[float], text_col: str = "text") -> DataFrame
     base, added = fresh(df, "base_spans"), fresh(df, "added_spans")
     text = body(text_col)
     rows = df.withColumn(base, F.concat(*patterns(text)))
-    runs = found(text, RUN, 3, passes=lambda v: odd(v, model))
-    return rows.withColumn(added, F.filter(runs, lambda r: ~F.exists(F.col(base), lambda b: (b["start"] < r["end"]) & (r["start"] < b["end"]))))
+    left, runs = fresh(rows, "left"), fresh(rows, "runs")
+    rows = rows.withColumn(left, outside(text, F.col(base)))
+    whole, parts = (found(F.col(left), p, 3, passes=lambda v: odd(v, model)) for p in (RUN, PART))
+    rows = rows.withColumn(runs, whole)
+    new = F.filter(parts, lambda r: ~F.exists(F.col(runs), lambda b: (b["start"] < r["end"]) & (r["start"] < b["end"])))
+    return rows.withColumn(added, F.sort_array(F.concat(runs, new))).drop(left, runs)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -166,7 +166,7 @@ def test_secret_scan(spark):
     assert secrets.scan(df.limit(0), secrets.train(secrets.labelled(df.limit(0)))).count() == 0
 
 
-def test_copies_and_known_secrets_do_not_weigh_in_the_model(spark):
+def test_copies_and_known_secrets_do_not_weigh_in_and_short_or_joined_ones_are_found(spark):
     random.seed(6)
     parts = ["".join(random.choice(x) for x in ("bcdfghjklmnpqrstvwxyz", "aeiouy", "nrstlm")) for _ in range(70)]
     plain = [" ".join("".join(random.choices(parts, k=3)).capitalize() if k % 2 else random.choice(parts) + random.choice(parts) + str(random.choice(["", k])) for k in range(80)) for _ in range(600)]
@@ -187,5 +187,13 @@ def test_copies_and_known_secrets_do_not_weigh_in_the_model(spark):
     assert all(abs(model[at("b") * n + at(c)] - (math.log(1 / n) - math.log((0.5 + from_b.get(c, 0)) / total))) < 1e-9 for c in "-_/abz")
     model = secrets.train(secrets.labelled(df))
     assert model == secrets.train(secrets.labelled(df.filter("text is null or text not like 'note%' or doc_id = 600")))
+    path = "/".join(w for w in " ".join(plain[:3]).split() if w.isalpha() and w.islower())
+    hard = [  # (before, secret, after)
+        ("see ", "q7Zk2Vx9Lw4T", " end"), (f"see {path}/", "q7Zk2Vx9Lw4TbN8yRj3D", " end"), ("password=abcdefgh:", "q7Zk2Vx9Lw4TbN8yRj3D", ""), ("0a" * 20, "Zq7Zk2Vx9Lw4TbN8yRj3D", " x"),
+        ("é ", "", f"{path} api_key=ab api-key=abcdefg "),
+    ]
+    more = spark.createDataFrame([(i, "".join(x)) for i, x in enumerate(hard)], "doc_id long, text string")
+    got = {r["doc_id"]: r["s"] for r in secrets.scan(more, model).select("doc_id", secrets.listed(F.col("added_spans")).alias("s")).collect()}
+    assert got == {i: f"markov:{len(a)}:{len(a + x)}" if x else "" for i, (a, x, _) in enumerate(hard)}
     hits = secrets.scan(df.filter("text like 'note%' or text like 'odd%'"), model).select(secrets.listed(F.col("added_spans")).alias("s")).groupBy("s").count().collect()
     assert {r["s"]: r["count"] for r in hits} == {"markov:5:37": 400, "markov:4:36": 30}
