@@ -26,7 +26,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -254,8 +254,16 @@ def _links(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa
 
 def groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """(id, n_shingles, component_id) for each row of `df`: component_id is the smallest id of the row's group."""
+    return _grouped(df, id_col, text_col, shingle, num, den).drop("print")
+
+
+def _print(own: Column, text_col: str) -> Column:
+    return F.xxhash64(own.isNull(), own, body(text_col))
+
+
+def _grouped(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     own = F.col(id_col).cast("long")
-    docs = df.select(own.alias("id"), F.xxhash64(own.isNull(), own, body(text_col)).alias("print"), body(text_col).alias("text"))
+    docs = df.select(own.alias("id"), _print(own, text_col).alias("print"), body(text_col).alias("text"))
     rows = rows_of_band(num / den)
     signed = materialize(docs.mapInArrow(partial(_signed, size=shingle, rows=rows), "id long, print long, n_shingles long, node binary, bands array<long>"), "near-signed")
     nodes = signed.filter("node is not null").groupBy("node").agg(F.min("id").alias("low"), F.count("*").alias("n"), F.min(F.struct(F.coalesce("id", F.lit(0)).alias("id"), "print")).alias("row"), F.first("bands", ignorenulls=True).alias("bands"))
@@ -283,19 +291,20 @@ def groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingl
     total = signed.count()
     hot = max(HOT_LEAST, total // HOT_SHARE)
     of = materialize(nodes.select("node", "low", "n").join(named.withColumnRenamed("node", "m"), F.col("node") == F.col("m"), "left").select("node", "n", F.coalesce("component_id", "low").alias("component_id")).filter(F.col("n").isNotNull()), "near-components")
-    plain = signed.select("id", "n_shingles", "node")
+    plain = signed.select("id", "print", "n_shingles", "node")
     common = F.broadcast(of.filter(F.col("n") > hot).select(F.col("node").alias("hot_node"), F.struct("component_id").alias("hot")))
     first = plain.join(common, F.col("node") == F.col("hot_node"), "left")
-    done = first.filter(F.col("hot").isNotNull() | F.col("node").isNull()).select("id", "n_shingles", F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("hot")["component_id"]).alias("component_id"))
-    rest = first.filter(F.col("hot").isNull() & F.col("node").isNotNull()).join(of.filter(F.col("n") <= hot).select("node", "component_id"), "node").select("id", "n_shingles", "component_id")
+    done = first.filter(F.col("hot").isNotNull() | F.col("node").isNull()).select("id", "print", "n_shingles", F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("hot")["component_id"]).alias("component_id"))
+    rest = first.filter(F.col("hot").isNull() & F.col("node").isNotNull()).join(of.filter(F.col("n") <= hot).select("node", "component_id"), "node").select("id", "print", "n_shingles", "component_id")
     return done.unionByName(rest)
 
 
 def keep(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """The rows of `df` whose id is the smallest of their group."""
-    found = groups(df, id_col, text_col, **how)
-    drop = materialize(found.filter(~F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id").alias("dropped id")).distinct(), "near-dropped")
-    return df.join(drop, F.col(id_col) == F.col("dropped id"), "left_anti")
+    """The rows of `df` whose id is the smallest of their group; of different texts under one id, each by its own group."""
+    own = F.col(id_col).cast("long")
+    found = _grouped(df, id_col, text_col, **how).filter(~F.col("id").eqNullSafe(F.col("component_id")))
+    drop = materialize(found.select(F.coalesce("id", F.lit(0)).alias("dropped id"), F.col("print").alias("dropped print")).distinct(), "near-dropped")
+    return df.join(drop, (F.coalesce(own, F.lit(0)) == F.col("dropped id")) & (_print(own, text_col) == F.col("dropped print")), "left_anti")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

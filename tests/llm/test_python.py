@@ -196,6 +196,14 @@ def test_near_duplicates(spark, k, num):
     assert near_dedup.groups(df.limit(0)).count() == 0
 
 
+def test_near_duplicates_kept_row_by_row(spark):
+    same, near, other = "a b c d e f g", "A b c d e f g ", "p q r s t u v"
+    rows = [(1, same), (2, other), (None, same), (5, same), (5, "k l m n o p q"), (7, near), (7, near), (None, "v w x y z"), (None, "v w x y z"), (2, other), (9, None), (None, None), (0, other + " x" * 40)]
+    kept = near_dedup.keep(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), num=80)
+    want = Counter(r for r, (i, _, c) in zip(rows, brute_groups(rows, 5, 80, 100)) if i == c)
+    assert Counter(map(tuple, kept.collect())) == want and want[(5, "k l m n o p q")] == 1 and not want[(None, same)] and not want[(5, same)]
+
+
 def test_superminhash_estimates_with_less_variance():
     rng, errors = np.random.default_rng(2), []
     for _ in range(60):
