@@ -65,8 +65,9 @@ _LETTER = mixed(np.where((np.arange(256) >= 65) & (np.arange(256) <= 90), np.ara
 _SPACE = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
 
 
-def shingle_sets(texts: pa.Array, size: int) -> Iterator[np.ndarray]:
-    """For each text the sorted distinct 64-bit hashes of its word shingles, A-Z lower-cased; null is empty.
+def word_hashes(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For some texts after another: 64-bit hashes of all their words, A-Z lower-cased, and where each text's begin (one more
+    for the end); null is empty.
 
     Word hashes come from prefix sums over the bytes of many texts at once: no byte of a longer character is a space.
     """
@@ -86,7 +87,13 @@ def shingle_sets(texts: pa.Array, size: int) -> Iterator[np.ndarray]:
         start = np.flatnonzero(inside[1:] & (~inside[:-1] | cut))
         end = np.flatnonzero(inside[:-1] & (~inside[1:] | cut))
         words = mixed((sums[end] - sums[start]) * inverse[start] ^ ((end - start).astype(np.uint64) * np.uint64(ODD[2])))
-        of = np.searchsorted(start, edge)
+        yield words, np.searchsorted(start, edge)
+        at = to
+
+
+def shingle_sets(texts: pa.Array, size: int) -> Iterator[np.ndarray]:
+    """For each text the sorted distinct 64-bit hashes of its word shingles; null is empty."""
+    for words, of in word_hashes(texts):
         shingle = np.full(max(0, len(words) - size + 1), np.uint64(size * 0x9E3779B1), np.uint64)
         for k in range(size):
             shingle = mixed(shingle * np.uint64(ODD[0]) + words[k : len(words) - size + 1 + k])
@@ -98,7 +105,6 @@ def shingle_sets(texts: pa.Array, size: int) -> Iterator[np.ndarray]:
                 for k in range(lo, hi):
                     short = mixed(short * np.uint64(ODD[0]) + words[k])
                 yield short
-        at = to
 
 
 def signatures(sets: list[np.ndarray], slots: int) -> np.ndarray:

@@ -80,6 +80,9 @@ def test_broken_records_are_found():
             token_files.parse(framed[:at] + bytes([framed[at] ^ 1]) + framed[at + 1 :])
 
 
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
 def brute_repeats(texts, n=400):
     raws = [(t or "").encode() for t in texts]
     seen = Counter(r[i : i + n] for r in raws for i in range(len(r) - n + 1))
@@ -115,6 +118,27 @@ def test_repeated_substrings(spark):
     assert substrings.remove(df.limit(0)).count() == 0
 
 
+def brute_passages(texts, n=51):
+    words = [WORD.findall((t or "").translate({c: c + 32 for c in range(65, 91)})) for t in texts]
+    seen = Counter(tuple(w[i : i + n]) for w in words for i in range(len(w) - n + 1))
+    return [sum(any(seen[tuple(w[k : k + n])] > 1 for k in range(max(0, i - n + 1), min(i, len(w) - n) + 1)) for i in range(len(w))) for w in words]
+
+
+def test_passages_of_over_50_words(spark):
+    random.seed(4)
+    w = lambda n: " ".join(random.choice(["Ab", "b", "dé", "x"]) + str(random.randrange(90)) for _ in range(n))
+    p, q = w(51), w(90)
+    texts = [w(70) + " " + p + " " + w(70), re.sub("[a-z]", lambda m: m[0].upper(), p) + "\n" + w(3), p[3:] + " " + w(60), q, w(5) + "  " + q.replace(" ", "\t") + " " + w(4), None, "", "a " * 130, w(30), w(51), q[: len(q) // 2], w(9) + " " + p + w(4)]
+    texts += [w(8) + " " + q + " " + w(8) for _ in range(30)] + [texts[0]]
+    df = spark.createDataFrame([(i if i % 5 else None, t) for i, t in enumerate(texts)], "doc_id long, text string").withColumn("Passages", F.lit(1)).repartition(4)
+    want = {(i if i % 5 else None, t): n for (i, t), n in zip(enumerate(texts), brute_passages(texts))}
+    assert set(want.values()) >= {0, 51, 90, 130}
+    for most in (50_000, 5):
+        got = substrings.passages(df, most=most).collect()
+        assert len(got) == len(texts) and all(sum(s["end"] - s["start"] for s in r["passages_"]) == want[r["doc_id"], r["text"]] for r in got)
+    assert substrings.passages(df.limit(0)).count() == 0
+
+
 def test_anchors_do_not_depend_on_segments():
     rng = np.random.default_rng(1)
     raw = rng.integers(97, 110, 9000).astype(np.uint8)
@@ -124,7 +148,7 @@ def test_anchors_do_not_depend_on_segments():
     substrings.SEGMENT = old
     assert all((a == b).all() for a, b in zip(whole, cut))
     gaps = np.diff(whole[0])
-    assert gaps.max() <= substrings.SIDE + 1
+    assert gaps.max() <= substrings.BYTES.side + 1
 
 
 def test_multikey_order():
@@ -144,9 +168,6 @@ def test_repeats_by_pairs_and_by_order():
     assert (few == many).all() and few.any()
 
 
-WORD = re.compile(r"[^\x20\x09-\x0D]+")
-
-
 def shingles(text, k):
     w = WORD.findall((text or "").translate({c: c + 32 for c in range(65, 91)}))
     return frozenset(tuple(w[i : i + k]) for i in range(len(w) - k + 1)) if len(w) >= k else frozenset([tuple(w)] if w else [])
