@@ -20,9 +20,12 @@ column names and empty tables need no care.
 from __future__ import annotations
 
 import json
+import os
 import re
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
@@ -43,8 +46,8 @@ BEYOND = re.compile("[^\x00-\xff]")
 MOST_WORDS, MOST_PAIRS = 150_000, 300_000
 #: Rows and text characters of a batch that goes back to Spark.
 BATCH_ROWS, BATCH_CHARS = 1_000, 1_500_000
-#: Words of one trie.
-TRIE_WORDS = 20_000
+#: Words of one trie, and the bytes of a word beyond which it gets none: its prefixes are those of the word before it in order.
+TRIE_WORDS, LONG = 20_000, 400
 
 
 class Recent(dict):
@@ -188,6 +191,29 @@ class TrieBpe:
                     todo.append((depth + 1, key, below))
         return out
 
+    def encode_long(self, words: list[bytes]) -> Iterator[tuple[bytes, array]]:
+        """Ids of sorted long words: the same walk over the same trie, of which only the path to the word at hand is held."""
+        last, sizes, held, fits = array("i", [-1]), array("H", [0]), b"", self.follows
+        for word in words:
+            shared = len(os.path.commonprefix((held, word)))
+            del last[shared + 1 :], sizes[shared + 1 :]
+            for depth in range(shared + 1, len(word) + 1):
+                start, ending = depth, self.endings
+                while start and (ending := ending.get(word[start - 1])) is not None:
+                    start -= 1
+                    if (token := ending.get(-1)) is not None and fits(last[start], token):
+                        last.append(token)
+                        sizes.append(depth - start)
+                        break
+                else:
+                    raise ValueError(f"no token ends {word[max(0, depth - 50) : depth]!r}")
+            at, back = len(word), array("i")
+            while at:
+                back.append(last[at])
+                at -= sizes[at]
+            held = word
+            yield word, back[::-1]
+
     def cut(self, text: str) -> list[str]:
         """The words of a text without added tokens."""
         if BEYOND.search(text) is None:
@@ -199,26 +225,29 @@ class TrieBpe:
         letters = self.letters.__getitem__
         return [bytes(map(letters, w)).decode() for p in PIECE.findall(text) for w, _ in self.words_of(p)]
 
-    def encode(self, texts: list[str]) -> Iterator[list[int]]:
+    def encode(self, texts: list[str]) -> Iterator[array]:
         cut = [[(self.cut(s) if s not in self.added else (), self.added.get(s)) for s in (self.stop.split(t) if self.stop else [t]) if s] for t in texts]
-        if new := self.words.unknown({w for parts in cut for ws, _ in parts for w in ws}):
+        every = {w for parts in cut for ws, _ in parts for w in ws}
+        long = {w for w in every if len(w) > LONG // 4 and len(w.encode()) > LONG}
+        alone = {w.decode(): ids for w, ids in self.encode_long(sorted(w.encode() for w in long))}
+        if new := self.words.unknown(every - long):
             ordered = sorted(new)  # words of one trie are neighbours, so that they share what they can
             for at in range(0, len(ordered), TRIE_WORDS):
                 some = ordered[at : at + TRIE_WORDS]
                 of = self.encode_words({w.encode() for w in some})
                 self.words.update((w, of[w.encode()]) for w in some)
-        ids_of = self.words.__getitem__
+        ids_of = (lambda w: alone[w] if w in alone else self.words[w]) if alone else self.words.__getitem__  # long words aren't remembered
         for parts in cut:
-            ids: list[int] = []
+            ids = array("i")
             for ws, special in parts:
                 if special is None:
                     for more in map(ids_of, ws):
-                        ids += more
+                        ids.extend(more)
                 else:
                     ids.append(special)
             yield ids
 
-    def decode(self, ids: list[int]) -> str:
+    def decode(self, ids: Iterable[int]) -> str:
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
 
 
@@ -247,23 +276,28 @@ def slices(texts: pa.Array) -> Iterator[tuple[int, list[str]]]:
 
 
 def encode(df: DataFrame, path: str, text_col: str = "text") -> DataFrame:
-    """`df` with n_tokens, ids (array of int) and decoded, the text that the ids decode to."""
+    """`df` with n_tokens, ids (array of int) and decoded, the text that the ids decode to. `path` is a file or a vocabulary's name."""
     names = [fresh(df, c) for c in ("n_tokens", "ids", "decoded")]
     at = df.columns.index(text_col)
     fields = T.StructType([*df.schema.fields, T.StructField(names[0], T.LongType()), T.StructField(names[1], T.ArrayType(T.IntegerType())), T.StructField(names[2], T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = loaded(path)
+        bpe = loaded(vocabulary(path))
         for batch in batches:
             for a, texts in slices(batch.column(at)):
                 ids = list(bpe.encode(texts))
-                more = [pa.array([len(x) for x in ids], pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array(map(bpe.decode, ids), pa.string())]
+                sizes = np.array([len(x) for x in ids], np.int64)
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32()), pa.array(np.frombuffer(b"".join(x.tobytes() for x in ids), np.int32)))
+                more = [pa.array(sizes), lists, pa.array(map(bpe.decode, ids), pa.string())]
                 yield pa.RecordBatch.from_arrays([*batch.slice(a, len(texts)).columns, *more], [*batch.schema.names, *names])
 
     return df.mapInArrow(run, fields)
 
 
 def vocabulary(name: str) -> str:
+    """The file of a public vocabulary on this machine; a path stays as it is. Workers ask for themselves, by name."""
+    if "/" in name:
+        return name
     import public_tokenizers
 
     return public_tokenizers.path(name)
@@ -275,4 +309,4 @@ def digest(encoded: DataFrame) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", body("text").alias("text"))
-    return digest(encode(docs, vocabulary("byte_bpe_50k.json")))
+    return digest(encode(docs, "byte_bpe_50k.json"))

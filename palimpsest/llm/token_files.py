@@ -125,7 +125,7 @@ _encoders: dict[str, WordEncoder] = {}
 
 def write_part(batches: Iterator[pa.RecordBatch], folder: str, path: str, end_id: int) -> Iterator[pa.RecordBatch]:
     """Write the shard of this task from (id, text) in order; its row of the manifest."""
-    encoder = _encoders.get(path) or _encoders.setdefault(path, WordEncoder(path))
+    encoder = _encoders.get(path) or _encoders.setdefault(path, WordEncoder(vocabulary(path)))
     end = encoder.packed([end_id])
     filesystem, base = opened(folder)
     task = TaskContext.get()
@@ -219,5 +219,5 @@ def read(spark: SparkSession, folder: str, done: list[tuple]) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{scratch(spark)}/token-files-{uuid.uuid4().hex}"
-    done = write(table(spark, sf_dir, "documents"), folder, vocabulary("word_bpe_49k.json"))
+    done = write(table(spark, sf_dir, "documents"), folder, "word_bpe_49k.json")
     return read(spark, folder, done).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
