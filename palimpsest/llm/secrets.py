@@ -11,7 +11,7 @@ weigh in. Words inside a pattern's match are left out, and so are the long ones
 Many secrets that no pattern knows, against few words, can still hide each other.
 
 Defined results: a null text is an empty one, without spans. Only mapped rows, so repeats, ties, empty tables and
-clashing names need no care. Placing m matches in one text takes time that grows as m squared, with a small factor.
+clashing names need no care. Matches are placed in blocks, so that a text of very many costs about as many steps.
 """
 
 from __future__ import annotations
@@ -41,14 +41,44 @@ SPANS = "array<struct<start:int,kind:int,end:int>>"
 
 def outside(text: Column, spans: Column) -> Column:
     """The text with spaces, as many, for what the spans cover."""
-    none = F.array().cast("array<string>")
+    def joined(held: Column) -> Column:
+        pieces = held["pieces"]
+        gap = lambda a, b: F.substring(F.array_join(F.slice(pieces, F.floor(a / PIECE).cast("int") + 1, (F.floor(b / PIECE) - F.floor(a / PIECE)).cast("int") + 1), ""), a % PIECE + 1, b - a)
 
-    def cut(so_far: Column, x: Column) -> Column:
-        at, end = F.greatest(so_far["at"], x["start"]), F.greatest(so_far["at"], x["end"])
-        return F.struct(end.alias("at"), F.concat(so_far["kept"], F.array(F.substring(text, so_far["at"] + 1, at - so_far["at"]), F.repeat(F.lit(" "), end - at))).alias("kept"))
+        def cut(at: Column, x: Column) -> tuple[Column, Column]:
+            a, b = F.greatest(at, x["start"]), F.greatest(at, x["end"])
+            return b, F.concat(gap(at, a), F.repeat(F.lit(" "), b - a))
 
-    rest = lambda s: F.concat(s["kept"], F.array(F.substring(text, s["at"] + 1, F.length(text))))
-    return F.when(F.size(spans) > 0, F.array_join(F.aggregate(F.sort_array(spans), F.struct(F.lit(0).alias("at"), none.alias("kept")), cut, rest), "")).otherwise(text)
+        kept = lambda s: F.concat(F.array_join(F.flatten(s["found"]), ""), gap(s["at"], F.greatest(s["at"], held["n"])))
+        return F.transform(F.array(in_blocks(held["spans"], cut, "string")), kept)[0]
+
+    held = F.struct(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0)).alias("pieces"), F.sort_array(spans).alias("spans"), F.length(text).alias("n"))
+    return F.when(F.size(spans) > 0, F.transform(F.array(held), joined)[0]).otherwise(text)
+
+
+#: Items that are appended one by one before what they gave is put with that of others.
+BLOCK = 256
+#: Letters of a piece that a text is cut into, since a substring is looked for from the start.
+PIECE = 4096
+
+
+def in_blocks(items: Column, step, kind: str) -> Column:
+    """A struct of `at`, where `step` (at, item) -> (next at, value or null) has got to from 0, and `found`, its values in blocks.
+
+    Appending to an array copies it: in blocks of BLOCK, n items cost n * BLOCK and (n / BLOCK) ** 2 copied places, not n ** 2.
+    """
+    empty = F.array().cast(f"array<{kind}>")
+
+    def one(so_far: Column, x: Column) -> Column:
+        at, value = step(so_far["at"], x)
+        return F.struct(at.alias("at"), F.concat(so_far["part"], F.array(value)).alias("part"))
+
+    def block(so_far: Column, b: Column) -> Column:
+        some = F.aggregate(F.slice(items, b * BLOCK + 1, BLOCK), F.struct(so_far["at"].alias("at"), empty.alias("part")), one)
+        return F.transform(F.array(some), lambda s: F.struct(s["at"].alias("at"), F.concat(so_far["found"], F.array(s["part"])).alias("found")))[0]
+
+    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<array<{kind}>>").alias("found"))
+    return F.aggregate(F.sequence(F.lit(0), F.floor(F.greatest(F.size(items) - 1, F.lit(0)) / BLOCK).cast("int")), start, block)
 
 
 def labelled(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -121,17 +151,17 @@ def odd(run: Column, model: list[float]) -> Column:
 def found(text: Column, pattern: str, kind: int, hint: str | None = None, group: int = 0, passes=None) -> Column:
     """Spans of a pattern's leftmost matches that don't overlap, from the texts between and the matches' lengths."""
     none = F.array().cast(SPANS)
+    span_type = SPANS[len("array<") : -1]
     matches, values = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
     pairs = F.arrays_zip(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(matches)).alias("gap"), matches.alias("all"), values.alias("value"))
 
-    def place(so_far: Column, x: Column) -> Column:
-        start = so_far["at"] + F.length(x["gap"])
+    def place(at: Column, x: Column) -> tuple[Column, Column]:
+        start = at + F.length(x["gap"])
         end = start + F.length(x["all"])
-        span = F.array(F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end")))
-        ok = passes(x["value"]) if passes else F.lit(True)
-        return F.struct(end.alias("at"), F.concat(so_far["spans"], F.when(ok, span).otherwise(none)).alias("spans"))
+        span = F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"))
+        return end, F.when(passes(x["value"]), span) if passes else span
 
-    spans = F.aggregate(pairs, F.struct(F.lit(0).alias("at"), none.alias("spans")), place)["spans"]
+    spans = F.transform(F.array(pairs), lambda p: F.filter(F.flatten(in_blocks(p, place, span_type)["found"]), lambda s: s.isNotNull()))[0]
     return F.when(text.rlike(hint or pattern), spans).otherwise(none)
 
 
