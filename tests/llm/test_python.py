@@ -3,6 +3,7 @@
 import random
 import re
 import struct
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -51,6 +52,19 @@ def test_bpe_words_by_trie_and_by_merging():
     assert b.decode([b.ids[b"\xff"]]) == "�"
 
 
+def test_bpe_of_long_words():
+    from tokenizers import Tokenizer
+
+    path = bpe.vocabulary("byte_bpe_50k.json")
+    random.seed(9)
+    own, lib = bpe.TrieBpe(path), Tokenizer.from_file(path)
+    start = "".join(random.choice("abcdeéfghijk🙂") for _ in range(3000))
+    words = [start + "x" * 900, start[:1200] + "zz" * 300, start, start + "x", "keitlich" * 30_000]
+    for text in [" ".join(words), *words]:
+        assert list(next(own.encode([text]))) == lib.encode(text, add_special_tokens=False).ids
+    assert all(len(w) <= bpe.LONG for w in own.words)
+
+
 def test_token_files(spark, tmp_path):
     from tokenizers import Tokenizer
 
@@ -268,6 +282,20 @@ def test_quality(spark):
     assert quality.score(df, none).filter("score_ = 0.5").count() == df.count() and quality.score(df.limit(0), model).count() == 0
 
 
+@pytest.mark.parametrize("text", ["!" * 1_000_000 + "x", ("!" * 500_000 + "x ") * 2, "x!" * 500_000, " !" * 300_000])
+def test_features_take_time_by_length(text):
+    began = time.process_time()
+    assert len(quality.features(text)) == len(quality.FEATURES)
+    assert time.process_time() - began < 2
+
+
+def test_symbols_at_the_end_of_words_are_counted():
+    at = quality.FEATURES.index("word_end_symbols")
+    for text in ("a!! b!!! c! d", "!!! a", "a!!b !!", "<<>> x==", "!!!x !!"):
+        slow = len(re.findall(r"[!#$%&*+<=>@^_|~]{2,}(?=\s|$)", text))
+        assert quality.features(text)[at] == slow / len(text.split())
+
+
 def test_pairs_are_learned_that_no_single_feature_tells():
     rng = np.random.default_rng(0)
     x = rng.random((4000, 4))
