@@ -34,7 +34,7 @@ def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document, and whether they decode to its text."""
-    encoded = bpe.encode(docs.select("doc_id", "source", F.coalesce("text", F.lit("")).alias("text")), bpe.vocabulary("byte_bpe_50k.json"))
+    encoded = bpe.encode(docs.select("doc_id", "source", F.coalesce("text", F.lit("")).alias("text")), "byte_bpe_50k.json")
     return encoded.select("doc_id", "source", "n_tokens", "ids", (F.col("decoded") == F.col("text")).alias("round_trip"))
 
 
