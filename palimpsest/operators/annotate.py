@@ -1,13 +1,12 @@
 """Markup annotation: wrap every located token of a marked-up text in a span that names its editor.
 
-The text is walked once with two cursors, the next token's end and the next markup's start. Markups open frames on an
-explicit stack. In a frame of a markup that hides its inside, text passes through unwrapped; tokens are still counted.
+The text is walked once along merged streams: tokens that are found, starts of markups, the end of the markup that is open. Inside
+a markup text passes through unwrapped; tokens are still counted.
 """
 
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -78,103 +77,108 @@ def escaped(text: str) -> str:
     return text.replace("&", "&amp;").replace('"', "&quot;").replace("<", "&lt;").replace(">", "&gt;")
 
 
-@dataclass
-class Frame:
-    """An open markup: where it started and how it ends; the outermost frame is the text itself."""
+class Matches:
+    """The matches of an expression as a stream that is asked from ever later places. The match that it stands at is the first from
+    any place up to its start, so that a text is searched once, however often it is asked."""
 
-    start: int = -1
-    length: int = 0
-    end: re.Pattern | None = None
-    single: bool = False
-    wraps: bool = False
-    closed: bool = False
+    def __init__(self, pattern: re.Pattern, text: str):
+        self.pattern, self.text, self.now = pattern, text, pattern.search(text)
 
+    def since(self, place: int) -> re.Match | None:
+        if self.now is not None and self.now.start() < place:
+            self.now = self.pattern.search(self.text, place)
+        return self.now
 
-def annotate(text: str, tokens: list[tuple[str, str, str]]) -> tuple[str, list[tuple[str, str, int]]]:
-    """The text with spans around the tokens (str, editor, class), and the editors of the tokens found: (editor, class, tokens),
-    by count, then by who comes first. Tokens that aren't found from where the walk stands are passed over."""
-    wiki = text.replace("\r\n", LINE).replace("\n", LINE).replace("\r", LINE)
-    size, folded, out = len(wiki), Folded(wiki), []
-    editors: dict[str, list] = {}
-    visited: set[int] = set()
-    pos, at, opened = 0, -1, False
-
-    def advance() -> int | None:
-        """Move on to the next token that is found; where it ends."""
-        nonlocal at
-        for at in range(at + 1, len(tokens)):
-            value, editor, kind = tokens[at]
-            if pos < size and (end := folded.end(value, pos)) is not None:
-                editors.setdefault(editor, [kind, 0])[1] += 1
-                return end
-        at = len(tokens)
+
+class Located:
+    """The stream of tokens that are found, each from where the walk stands: (number, end)."""
+
+    def __init__(self, text: str, tokens: list[tuple[str, str, str]]):
+        self.text, self.tokens, self.number, self.gone = Folded(text), tokens, -1, set()
+        self.size, self.editors = len(text), {}
+
+    def after(self, place: int) -> tuple[int, int] | None:
+        for self.number in range(self.number + 1, len(self.tokens)):
+            value, editor, kind = self.tokens[self.number]
+            if place >= self.size or value in self.gone:
+                continue
+            end = self.text.end(value, place)
+            if end is not None:
+                self.editors.setdefault(editor, [kind, 0])[1] += 1
+                return self.number, end
+            self.gone.add(value)  # not from here on, so not from later on either
         return None
 
-    def next_markup() -> tuple[int, int, int] | None:
-        """(place, length, number) of the markup that starts first. One whose first place was visited doesn't count at all."""
-        best = None
-        for k, (start, *_) in enumerate(_MARKUPS):
-            m = start.search(wiki, pos)
-            if m and m.start() not in visited and (best is None or m.start() < best[0]):
-                best = m.start(), m.end() - m.start(), k
-        return best
-
-    def bounds(frame: Frame) -> tuple[int, int] | None:
-        """Where the frame's end mark starts and ends, seen from the cursor."""
-        if frame.single:
-            return frame.start, frame.start + frame.length
-        if frame.end is None:
-            return None
-        m = frame.end.search(wiki, pos)
-        return m.span() if m else (size, size)
 
-    def close() -> None:
-        nonlocal opened
-        if opened:
-            out.append("</span>")
-        opened = False
-
-    def span(new: bool) -> None:
-        nonlocal opened
-        close()
-        if new:
-            out.append(f'<span class="editor-token token-editor-{escaped(tokens[at][2])}" id="token-{at}">')
-            opened = True
-
-    token_end = advance()
-    stack = [Frame(wraps=True)]
-    limit, ahead = None, next_markup()
-    while stack:
-        frame = stack[-1]
-        done = pos >= size
-        if not done and token_end is None:
-            out.append(wiki[pos:])
-            pos, done = size, True
-        if done:
-            close()
-        elif not frame.closed and ahead and (limit is None or pos < limit[0] and ahead[0] < limit[0]) and ahead[0] < token_end:
-            place, length, k = ahead
+def annotate(text: str, tokens: list[tuple[str, str, str]]) -> tuple[str, list[tuple[str, str, int]]]:
+    """The text with spans around the tokens (str, editor, class), and the editors of the tokens found: (editor, class, tokens),
+    by count, then by who comes first. Tokens that aren't found from where the walk stands are passed over.
+
+    Three streams are merged by place: tokens, starts of markups (one stream for each expression), and the end of the markup
+    that is open. What comes first is taken; at one place a token's end goes before a markup, and a markup's end before both.
+    """
+    wiki = text.replace("\r\n", LINE).replace("\n", LINE).replace("\r", LINE)
+    size, located, out = len(wiki), Located(wiki, tokens), []
+    starts = [Matches(a, wiki) for a, *_ in _MARKUPS]
+    ends = {b: Matches(b, wiki) for _, b, *_ in _MARKUPS if b}
+    entered: set[int] = set()
+    place, wrapped = 0, ""  # wrapped: what closes the span that is open
+    token = located.after(0)
+    # open markups, innermost last: (end expression or none, its span where it is a single one, tokens are wrapped, markups may open)
+    opened: list[tuple] = [(None, None, True, True)]
+
+    def wrap(yes: bool) -> None:
+        nonlocal wrapped
+        out.append(wrapped)
+        wrapped = "</span>" if yes else ""
+        if yes:
+            number = located.number
+            out.append(f'<span class="editor-token token-editor-{escaped(tokens[number][2])}" id="token-{number}">')
+
+    def closing() -> tuple[int, int] | None:
+        end, single, _, _ = opened[-1]
+        if end is None:
+            return single
+        found = ends[end].since(place)
+        return found.span() if found else (size, size)
+
+    def opening() -> tuple[int, int, int] | None:
+        """(start, end, number) of the markup that starts first; an expression whose next match was entered before is out."""
+        found = ((m.start(), k, m.end()) for k, s in enumerate(starts) if (m := s.since(place)) and m.start() not in entered)
+        first = min(found, default=None)
+        return first and (first[0], first[2], first[1])
+
+    limit, ahead = None, opening()
+    while opened:
+        _, _, wraps, may_open = opened[-1]
+        if place < size and token is None:
+            out.append(wiki[place:])
+            place = size
+        if place >= size:
+            wrap(False)
+        elif may_open and ahead and ahead[0] < token[1] and (limit is None or max(place, ahead[0]) < limit[0]):
+            start, stop, k = ahead
             _, end, hides, closed = _MARKUPS[k]
-            visited.add(place)
-            if frame.wraps:
-                span(not hides)
-            stack.append(Frame(place, length, end, end is None, False, closed))
-            limit, ahead = bounds(stack[-1]), None if closed else next_markup()
+            entered.add(start)
+            if wraps:
+                wrap(not hides)
+            opened.append((ends[end].pattern if end else None, None if end else (start, stop), False, not closed))
+            limit, ahead = closing(), opening() if not closed else None
             continue
-        elif limit is not None and limit[1] < token_end:
-            out.append(wiki[pos : limit[1]])
-            pos, done = limit[1], True
-        if done:
-            stack.pop()
-            if stack:
-                limit, ahead = bounds(stack[-1]), next_markup()
+        elif limit is not None and limit[1] < token[1]:
+            out.append(wiki[place : limit[1]])
+            place = limit[1]
+        else:
+            if wraps:
+                wrap(True)
+            out.append(wiki[place : token[1]])
+            place = token[1]
+            token = located.after(place)
             continue
-        if frame.wraps:
-            span(True)
-        out.append(wiki[pos:token_end])
-        pos = token_end
-        token_end = advance()
-    listed = sorted(((e, kind, n) for e, (kind, n) in editors.items()), key=lambda x: -x[2])
+        opened.pop()
+        if opened:
+            limit, ahead = closing(), opening()
+    listed = sorted(((e, kind, n) for e, (kind, n) in located.editors.items()), key=lambda x: -x[2])
     return "".join(out).replace(LINE, "\n"), listed
 
 

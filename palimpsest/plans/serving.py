@@ -8,7 +8,6 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.functions.text import title_key
 from palimpsest.operators import annotate
 from palimpsest.operators.attribute import Tables, attribute, normalized
 from palimpsest.plans import views
@@ -50,13 +49,10 @@ class Service:
         self.users = store.spark.createDataFrame([], "user_id long, user_name string") if users is None else users
 
     def page_of_title(self, lang: str, title: str) -> int | None:
-        key = title_key(F.lit(title))
-        row = self.store.titles().filter((F.col("lang") == lang) & (title_key("title") == key)).head(1)
-        return row[0]["page_id"] if row else None
+        return self.store.page_of_title(lang, title)
 
     def page_of_revision(self, lang: str, rev_id: int) -> int | None:
-        row = self.store.index.filter((F.col("lang") == lang) & (F.col("rev_id") == rev_id)).head(1)
-        return row[0]["page_id"] if row else None
+        return self.store.page_of_revision(lang, rev_id)
 
     def _latest(self, tables: Tables) -> int | None:
         row = views.latest(tables).head(1)

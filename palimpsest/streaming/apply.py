@@ -36,7 +36,7 @@ def window(history: DataFrame, wanted: DataFrame) -> DataFrame:
 
 def apply_batch(store: Store, events: DataFrame, history: DataFrame) -> DataFrame:
     """Take in a batch of page edits; (lang, page_id, start, end, outcome, applied)."""
-    wanted = materialize(decide(events, store.tables(events.select(F.col("language").alias("lang"), "page_id")).article_meta), "apply-wanted")
+    wanted = materialize(decide(events, store.meta), "apply-wanted")
     rows = materialize(window(history, wanted), "apply-rows")
     pages = wanted.filter(F.col("outcome") == APPLIED).select("lang", "page_id")
     if pages.head(1):

@@ -39,7 +39,7 @@ def test_histories_from_files(spark, lines):
 def test_store_resume_and_serving(spark, lines, tmp_path):
     rows = history.read_histories(spark, lines)
     kept = store.Store(spark, f"{tmp_path}/store")
-    assert kept.index.count() == 0 and kept.state.count() == 0
+    assert kept.index.count() == 0 and kept.pages().count() == 0
     kept.write(attribute(rows.filter("ord < 2")))
     assert {(r["rev_id"], r["page_id"]) for r in kept.index.collect()} == {(11, 7), (13, 7), (111, 8), (113, 8)}
     first = sorted(map(str, kept.pages([("de", 8)]).collect()))
@@ -52,7 +52,7 @@ def test_store_resume_and_serving(spark, lines, tmp_path):
     assert [(r["lang"], r["articles"], r["entries"]) for r in kept.rebuild_index().orderBy("lang").collect()] == [("de", 1, 2), ("en", 1, 3)]
     assert [r["lang"] for r in kept.languages().collect()] == ["de", "en"] and store.out_of_order(kept.index).count() == 0
     sizes = {r["part"]: (r["files"], r["bytes"]) for r in kept.file_sizes().collect()}
-    assert set(sizes) == {"index", "state"} and all(n > 0 and b > 0 for n, b in sizes.values())
+    assert set(sizes) == {"index", "state", "meta"} and all(n > 0 and b > 0 for n, b in sizes.values())
     assert [r["path"] for r in kept.paths().filter("lang = 'en'").collect()] == ["en/0/0/7"]
 
     service = serving.Service(kept, spark.createDataFrame([(2, "ann"), (3, "bob")], "user_id long, user_name string"), rows)
@@ -200,3 +200,54 @@ def test_whole_index_is_asked_and_claimed(spark):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{d}/{t}.parquet'")
     for name, rows in want.items():
         assert sorted(map(tuple, QUERIES[name](spark, d).collect())) == rows == sorted(con.execute(ORACLES[name]).fetchall())
+
+
+def test_store_generations(spark, tmp_path, monkeypatch):
+    line = lambda page, k, text: ("en", page, f"Page {page}", k, page * 10 + k, f"2020-01-0{k + 1}T00:00:00Z", 1, "u", text)
+    schema = "lang string, page_id long, title string, ord int, rev_id long, timestamp string, user_id long, user_name string, text string"
+    of = lambda *rows: attribute(spark.createDataFrame(rows, schema))
+    kept = store.Store(spark, f"file://{tmp_path}/store")
+    assert kept.manifest().gens == () and kept.meta.count() == 0 and kept.page_of_title("en", "Page 1") is None and kept.vacuum() == 0
+    kept.write(of(line(1, 0, "one two."), line(1, 1, "one two three."), line(2, 0, "x y."), line(1500, 0, "far away.")))
+    values = lambda: {r["page_id"]: r["n"] for r in kept.tables().tokens.groupBy("page_id").agg(F.count("*").alias("n")).collect()}
+    assert values() == {1: 4, 2: 3, 1500: 3}
+    later = [line(1, 0, "one two."), line(1, 1, "one two three."), line(1, 2, "one two three four.")]
+
+    def lost(*a):
+        raise RuntimeError("the driver is gone")
+
+    with monkeypatch.context() as m, pytest.raises(RuntimeError):
+        m.setattr(kept, "_publish", lost)
+        kept.write(of(*later))
+    assert values() == {1: 4, 2: 3, 1500: 3} and kept.index.count() == 4 and store.Store(spark, kept.root).page_of_revision("en", 12) is None
+    before = kept.manifest()
+    kept.write(of(*later))
+    with pytest.raises(store.Conflict):
+        kept._publish(before, [], 9)
+    assert values() == {1: 5, 2: 3, 1500: 3} and sorted(r["rev_id"] for r in kept.index.collect()) == [10, 11, 12, 20, 15000]
+    assert [kept.page_of_revision("en", r) for r in (10, 12, 15000, 13)] == [1, 1, 1500, None] and kept.page_of_title("en", "Page_1500") == 1500
+    kept.write(of(line(2, 5, "moved text.")))  # a page that lost its revision 20
+    assert kept.page_of_revision("en", 20) is None and kept.page_of_revision("en", 25) == 2 and kept.revision("en", 25).count() == 1
+    with pytest.raises(store.IndexCollision):
+        kept.write(of(("en", 3, "Three", 0, 12, "2020-01-01T00:00:00Z", 1, "u", "taken id.")))
+    assert [r["rev_id"] for r in kept.revisions_in_order("en").collect()] == [10, 11, 12, 25, 15000] and kept.pages([("en", 3)]).count() == 0
+    state = {tuple(map(str, r)) for r in kept.pages().collect()}
+    assert [tuple(r) for r in kept.rebuild_index().collect()] == [("en", 3, 5)] and kept.manifest().index != "index" and kept.page_of_revision("en", 12) == 1
+    assert kept.compact() == 3 and len(kept.manifest().gens) == 1 and {tuple(map(str, r)) for r in kept.pages().collect()} == state and kept.compact() == 0
+    assert kept.index.count() == 5 and kept.vacuum() > 3 and {tuple(map(str, r)) for r in kept.pages().collect()} == state and kept.page_of_revision("en", 25) == 2
+    kept.write(of(line(7, 0, "small page.")))
+    assert len(kept.manifest().gens) == 2 and kept.compact(factor=1) == 0 and kept.compact(factor=4) == 2
+    assert {r["part"] for r in kept.file_sizes().filter("ratio > 0 and files > 0").collect()} == {"state", "index", "meta"}
+    monkeypatch.setattr(store, "VERSION", 0)
+    with pytest.raises(ValueError):
+        kept.pages([("en", 7)])
+
+
+def test_a_page_is_read_from_its_partitions_alone(spark, tmp_path):
+    rows = [("en", p, f"Page {p}", 0, p, "2020-01-01T00:00:00Z", 1, "u", "a b.") for p in range(0, 5000, 500)]
+    kept = store.Store(spark, f"{tmp_path}/store")
+    kept.write(attribute(spark.createDataFrame(rows, "lang string, page_id long, title string, ord int, rev_id long, timestamp string, user_id long, user_name string, text string")))
+    one = kept.pages([("en", 2500)])
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters" in plan and "shard" in plan.split("PartitionFilters")[1].split("PushedFilters")[0] and "EqualTo(page_id,2500)" in plan
+    assert len(one.inputFiles()) > 1 and one.select(F.input_file_name().alias("f")).distinct().count() == 1
