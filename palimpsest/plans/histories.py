@@ -1,24 +1,24 @@
 """Histories derived from the driver's tables, the same in Spark and in SQL.
 
 turns: each conversation is a page, each turn a revision. growing: revision k of a conversation holds turns 0 to k; then one
-revision takes turn 1 out (minor, with a comment) and the next puts it back, where there are three turns at least.
+revision takes turn 1 out (minor, with a comment) and the next puts it back, where there are three turns at least. edited:
+each customer is a page whose revisions edit inside a paragraph, reorder it, are vandalism by each rule, or are undone.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from palimpsest.session import table
 
 
-def _shared(rows: DataFrame) -> DataFrame:
+def _shared(rows: DataFrame, *more: str) -> DataFrame:
     k = F.col("ord")
     return rows.select(
         F.lit("en").alias("lang"), "page_id", F.concat(F.lit("Talk "), F.col("page_id").cast("string")).alias("title"), k.cast("int").alias("ord"),
         (F.col("page_id") * 100 + k + 1).alias("rev_id"), F.concat(F.lit("2020-01-01T00:00:"), F.lpad(k.cast("string"), 2, "0"), F.lit("Z")).alias("timestamp"),
-        "comment", "minor", (k % 3).cast("long").alias("user_id"), F.concat(F.lit("host-"), (k % 2).cast("string")).alias("user_name"), "text", F.lit(False).alias("text_hidden"),
+        "comment", "minor", *more, (k % 3).cast("long").alias("user_id"), F.concat(F.lit("host-"), (k % 2).cast("string")).alias("user_name"), "text", F.lit(False).alias("text_hidden"),
     )
 
 
@@ -38,15 +38,41 @@ def growing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shared(rows.select("page_id", "ord", text.alias("text"), F.when(cut, "cut").alias("comment"), cut.alias("minor")))
 
 
-def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each source is a page, each of its documents a revision, by ascending id."""
-    rows = table(spark, sf_dir, "documents").select("source", "doc_id", "text")
-    order = W.partitionBy("source").orderBy("doc_id")
-    return rows.withColumn("ord", F.row_number().over(order) - 1).withColumn("page_id", F.regexp_extract("source", r"(\d+)$", 1).cast("long"))
+def edited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Page u has m sentences `s<i> keeps <u * 100 + i> item.` in one paragraph; kind is u % 3, r = u % m, d = (r + 1) % m.
+
+    Revision 0 writes them. 1 changes sentence r: `keeps` to `loses`, or for an odd u `keeps <number>` to `fresh keepsy`. 2 moves the
+    last sentence to the front. 3 is, by kind, a few letters in place of a long text, one line over and over, or 2 without sentence d.
+    4 is the same vandalism again (told by the source's hash for an even u, whose text differs; else by the text), or 2 again.
+    5 is hidden. 6 is 2 with a paragraph `final words of <u> here.` after it.
+    """
+    u, k = F.col("u"), F.col("ord")
+    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("u"), (F.col("c_custkey") % 3).alias("kind"))
+    rows = rows.withColumn("m", F.when(F.col("kind") == 0, 60).otherwise(3) + u % 4).withColumn("r", u % F.col("m"))
+    rows = rows.withColumn("d", (F.col("r") + 1) % F.col("m")).withColumn("ord", F.explode(F.array(*(F.lit(i).cast("long") for i in range(7)))))
+    number = lambda i: (u * 100 + i).cast("string")
+    middle = lambda i: F.when((k == 0) | (i != F.col("r")), F.concat(F.lit("keeps "), number(i))).when(u % 2 == 1, "fresh keepsy").otherwise(F.concat(F.lit("loses "), number(i)))
+    place = lambda i: F.when(k < 2, i).otherwise((i + F.col("m") - 1) % F.col("m"))
+    order = F.filter(F.transform(F.sequence(F.lit(0).cast("long"), F.col("m") - 1), place), lambda i: (k != 3) | (F.col("kind") != 2) | (i != F.col("d")))
+    text = F.array_join(F.transform(order, lambda i: F.concat(F.lit("s"), i.cast("string"), F.lit(" "), middle(i), F.lit(" item."))), " ")
+    again = F.when((k == 4) & (u % 2 == 0), " again").otherwise("")
+    spam = F.when(F.col("kind") == 0, F.concat(F.lit("gone."), again)).when(F.col("kind") == 1, F.concat(F.repeat(F.lit("lorem ipsum dolor sit amet. "), 60), again))
+    bad = k.isin(3, 4) & (F.col("kind") < 2)
+    text = F.when(bad, spam).when(k == 5, "").when(k == 6, F.concat(text, F.lit("\n\nfinal words of "), u.cast("string"), F.lit(" here."))).otherwise(text)
+    rows = rows.select(u.alias("page_id"), "ord", text.alias("text"), F.lit(None).cast("string").alias("comment"), F.lit(False).alias("minor"), F.when(bad & (u % 2 == 0), F.concat(F.lit("v"), u.cast("string"))).alias("sha1"))
+    return _shared(rows, "sha1").withColumn("text_hidden", k == 5)
 
 
 TURNS = """SELECT 'en' AS lang, conv_id AS page_id, turn AS ord, conv_id * 100 + turn + 1 AS rev_id,
   '2020-01-01T00:00:' || lpad(turn::VARCHAR, 2, '0') || 'Z' AS ts, turn % 3 AS user_id, 'host-' || (turn % 2)::VARCHAR AS user_name, coalesce(text, '') AS text FROM conversations"""
+#: Of the edited history: its sentences e_s (page_id, kind, m, r, d, i), and old and new tokens of revision 0 and 1 e_t (.., j, token_id, value, origin):
+#: five in each sentence, then what revision 1 writes, then six of the last paragraph.
+EDITED = """e_p AS (SELECT c_custkey AS page_id, c_custkey % 3 AS kind, CASE WHEN c_custkey % 3 = 0 THEN 60 ELSE 3 END + c_custkey % 4 AS m FROM customer),
+e_s AS (SELECT page_id, kind, m, page_id % m AS r, (page_id % m + 1) % m AS d, unnest(range(0, m)) AS i FROM e_p),
+e_w AS (SELECT *, ['s' || i, 'keeps', (page_id * 100 + i)::VARCHAR, 'item', '.'] AS w,
+        CASE WHEN i <> r THEN [5 * i, 5 * i + 1, 5 * i + 2, 5 * i + 3, 5 * i + 4] WHEN page_id % 2 = 1 THEN [5 * i, 5 * m, 5 * m + 1, 5 * i + 3, 5 * i + 4] ELSE [5 * i, 5 * m, 5 * i + 2, 5 * i + 3, 5 * i + 4] END AS ids,
+        CASE WHEN i <> r THEN ['s' || i, 'keeps', (page_id * 100 + i)::VARCHAR, 'item', '.'] WHEN page_id % 2 = 1 THEN ['s' || i, 'fresh', 'keepsy', 'item', '.']
+             ELSE ['s' || i, 'loses', (page_id * 100 + i)::VARCHAR, 'item', '.'] END AS w1 FROM e_s)"""
 #: Of the growing history: the revisions (page_id, ord, n: the page's turns), and its turns (page_id, k, text, n).
 GROWING = """g_t AS (SELECT conv_id AS page_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS k, text, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations),
 g_r AS (SELECT page_id, n, unnest(range(0, CASE WHEN n >= 3 THEN n + 2 ELSE n END)) AS ord FROM (SELECT DISTINCT page_id, n FROM g_t))"""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Callable
 
@@ -10,10 +11,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from palimpsest.functions import text as X
-from palimpsest.operators import annotate, differ
+from palimpsest.operators import annotate
 from palimpsest.operators.attribute import Tables, attribute, resume
-from palimpsest.plans import compare, histories, sql, views
-from palimpsest.plans.histories import GROWING, TURNS
+from palimpsest.operators.transcripts import transcript
+from palimpsest.plans import compare, histories, serving, sql, views
+from palimpsest.plans.histories import EDITED, GROWING, TURNS
 from palimpsest.session import materialize, scratch, spread, table
 from palimpsest.sources import changes, store
 
@@ -206,10 +208,12 @@ def index_collisions_all(spark, sf_dir):
     return store.colliding(entries).select("rev_id", "n_pages")
 
 
-@query("""SELECT count(DISTINCT conv_id) AS articles, count(*) AS entries, 'en' AS lang FROM conversations""")
+@query(f"""WITH {GROWING} SELECT 'en' AS lang, count(DISTINCT page_id) AS articles, count(*) AS entries FROM g_r""")
 def index_rebuild(spark, sf_dir):
-    """Articles and entries of the index made from stored revisions; the turns history counted as stored."""
-    return histories.turns(spark, sf_dir).groupBy("lang").agg(F.count_distinct("page_id").alias("articles"), F.count("*").alias("entries"))
+    """Articles and entries of the index that a store makes anew from its snapshots."""
+    kept = store.Store(spark, f"{scratch(spark)}/rebuild-{uuid.uuid4().hex}/store")
+    kept.write(attribute(histories.growing(spark, sf_dir)))
+    return kept.rebuild_index()
 
 
 @query("""
@@ -318,12 +322,32 @@ def article_totals(spark, sf_dir):
     return rows.select("page_id", "title", "n_lifetime_tokens", "n_revisions", "n_spam_revisions", "last_processed_revid")
 
 
-@query(f"""WITH {GROWING}, p AS (SELECT page_id, unnest({sql.paragraph_texts('lower(text)')}) AS p FROM g_t)
-SELECT page_id, 'p' AS kind, md5(p) AS hash, count(*) AS n_ids FROM p GROUP BY ALL""")
+#: Blocks of the growing history: no paragraph repeats, so each of a new paragraph's sentences is a block of its own.
+BLOCKS = f"""WITH {GROWING}, b_p AS (SELECT page_id, unnest({sql.paragraph_texts('lower(text)')}) AS p FROM g_t),
+b AS (SELECT page_id, 'p' AS kind, md5(p) AS hash FROM b_p
+      UNION ALL SELECT page_id, 's', md5(array_to_string({sql.tokens('s')}, ' ')) FROM (SELECT page_id, unnest({sql.sentence_texts('p')}) AS s FROM b_p))
+"""
+
+
+@query(BLOCKS + "SELECT page_id, kind, hash, count(*) AS n_ids FROM b GROUP BY ALL")
 def hash_index(spark, sf_dir):
-    """Paragraphs that a page ever had, by hash."""
-    rows = growing_tables(spark, sf_dir).hash_index.filter("kind = 'p'")
-    return rows.select("page_id", "kind", "hash", F.size("ids").cast("long").alias("n_ids"))
+    """Paragraphs and sentences that a page ever had, by hash."""
+    return growing_tables(spark, sf_dir).hash_index.select("page_id", "kind", "hash", F.size("ids").cast("long").alias("n_ids"))
+
+
+@query(BLOCKS + f""", t AS (SELECT page_id, sum(len({sql.all_tokens('lower(text)')}))::BIGINT AS n_lifetime_tokens FROM g_t GROUP BY page_id)
+SELECT page_id, any_value(n_lifetime_tokens) AS n_lifetime_tokens, count(*) FILTER (kind = 'p') AS paragraphs_total, count(*) FILTER (kind = 's') AS sentences_total,
+       count(DISTINCT hash) FILTER (kind = 'p') AS paragraph_hashes, count(DISTINCT hash) FILTER (kind = 's') AS sentence_hashes FROM b JOIN t USING (page_id) GROUP BY page_id""")
+def structure_totals(spark, sf_dir):
+    """Blocks, distinct hashes and tokens of each page."""
+    return compare.structure_totals(growing_tables(spark, sf_dir)).drop("lang")
+
+
+@query(f"""WITH {GROWING}, e AS (SELECT page_id, ord, (ord % 3)::VARCHAR AS editor FROM g_r WHERE ord % 3 <> 0), f AS (SELECT page_id, editor, min(ord) AS f FROM e GROUP BY ALL)
+SELECT page_id, editor, row_number() OVER (PARTITION BY page_id ORDER BY f) AS place FROM f""")
+def registered_editors(spark, sf_dir):
+    """Accounts that edited a page, in the order in which they came."""
+    return views.registered_editors(growing_tables(spark, sf_dir)).select("page_id", "editor", F.col("place").cast("long").alias("place"))
 
 
 @query(CLOSED + """SELECT page_id, max(CASE WHEN moved AND (n % 3 <> (n + 1) % 3) THEN 1 ELSE 0 END) AS biggest_conflict_score FROM c_k GROUP BY page_id""")
@@ -341,13 +365,97 @@ def first_revision_content(spark, sf_dir):
     return views.rev_content(tables, wanted, ("o_rev_id", "token_id")).select("page_id", "content")
 
 
-@query(CLOSED + """SELECT page_id, page_id * 100 + 3 AS rev_id, count(*) AS n_tokens FROM c_k WHERE n >= 3 AND k <= 2 GROUP BY page_id""")
+@query(CLOSED + """SELECT page_id, token_id, value, CASE WHEN n >= 3 THEN page_id * 100 + n ELSE origin END AS origin_rev_id, CASE WHEN n >= 3 THEN back ELSE page_id * 100 + n END AS last_rev_id,
+CASE WHEN moved THEN back::VARCHAR ELSE '' END AS inbound, CASE WHEN moved THEN gone::VARCHAR ELSE '' END AS outbound FROM c_k""")
 def window_replay(spark, sf_dir):
-    """A fold over the first three revisions of each page alone, counted at the third: a replay of a window."""
-    tables = Tables(attribute(histories.growing(spark, sf_dir).filter("ord <= 2")))
-    rows = tables.revision_tokens.filter("ord = 2 and rev_id = page_id * 100 + 3").select("page_id", "rev_id", F.size("token_ids").cast("long").alias("n_tokens"))
-    long = histories.growing(spark, sf_dir).groupBy("page_id").agg(F.max("ord").alias("last")).filter("last >= 4").select("page_id")
-    return rows.join(long, "page_id", "left_semi")
+    """Tokens of a fold over the last three revisions of each page alone (a replay of a window): of three turns or more, the first of
+    these brings them all."""
+    rows = serving.replay(histories.growing(spark, sf_dir), 3).tokens
+    return rows.select("page_id", F.col("token_id").cast("long").alias("token_id"), "value", "origin_rev_id", "last_rev_id", joined("inbound").alias("inbound"), joined("outbound").alias("outbound"))
+
+
+_FIELDS_JSON = """'{"str":"' || replace(value, '"', '\\"') || '","o_rev_id":' || origin || ',"editor":"' || (CASE k % 3 WHEN 0 THEN '0|host-' || (k % 2)::VARCHAR ELSE (k % 3)::VARCHAR END) || '","token_id":' || token_id
+|| ',"in":[' || (CASE WHEN moved THEN back::VARCHAR ELSE '' END) || '],"out":[' || (CASE WHEN moved THEN gone::VARCHAR ELSE '' END) || ']}'"""
+
+
+@query(CLOSED + f""", q AS (SELECT r.page_id, r.ord, r.n, string_agg({_FIELDS_JSON.replace('"', chr(34))}, ',' ORDER BY token_id) AS tokens
+  FROM g_r r JOIN (SELECT page_id, k, n AS n_, value, origin, token_id, moved, back, gone FROM c_k) x ON x.page_id = r.page_id AND x.k <= r.ord AND NOT (r.ord = r.n AND x.k = 1) GROUP BY ALL),
+v AS (SELECT page_id, ord, '{{"' || (page_id * 100 + ord + 1) || '":{{"editor":"' || (CASE ord % 3 WHEN 0 THEN '0|host-' || (ord % 2)::VARCHAR ELSE (ord % 3)::VARCHAR END) ||
+  '","time":"2020-01-01T00:00:' || lpad(ord::VARCHAR, 2, '0') || 'Z","tokens":[' || tokens || ']}}}}' AS j FROM q)
+SELECT page_id, '{{"article_title":"Talk ' || page_id || '","page_id":' || page_id || ',"success":true,"message":null,"revisions":[' || string_agg(j, ',' ORDER BY ord) || ']}}' AS content FROM v GROUP BY page_id""")
+def page_contents(spark, sf_dir):
+    """The JSON envelope of all revisions of each page, with every token field."""
+    tables = growing_tables(spark, sf_dir)
+    return views.rev_content(tables, tables.revisions.select("lang", "page_id", "rev_id")).select("page_id", "content")
+
+
+# ---- edits inside paragraphs, and vandalism ---------------------------------------------------------------------------------
+
+
+def edited_tables(spark, sf_dir) -> Tables:
+    return Tables(materialize(attribute(histories.edited(spark, sf_dir)), "edited"))
+
+
+@query(f"""WITH {EDITED}, o AS (SELECT page_id, kind, unnest([0, 1, 2, 3, 4, 6]) AS ord FROM e_p)
+SELECT page_id, page_id * 100 + ord + 1 AS rev_id, CASE WHEN kind = 2 OR ord NOT IN (3, 4) THEN 'stored' WHEN ord = 4 THEN 'hash_match' WHEN kind = 0 THEN 'length_shrink' ELSE 'token_density' END AS status FROM o""")
+def edit_statuses(spark, sf_dir):
+    """Each vandalism rule: shrunk texts, dense texts, and both again by their hash; hidden revisions have no status."""
+    return edited_tables(spark, sf_dir).inputs.select("page_id", "rev_id", "status")
+
+
+@query(f"""WITH {EDITED}, x AS (SELECT page_id, kind, m, r, d, i, unnest(w) AS value, generate_subscripts(w, 1) - 1 AS j FROM e_w),
+o AS (SELECT page_id, kind, 5 * i + j AS token_id, value, page_id * 100 + 1 AS origin_rev_id, i = r AND (j = 1 OR page_id % 2 = 1 AND j = 2) AS lost, i = d AND kind = 2 AS away FROM x
+      UNION ALL SELECT page_id, kind, 5 * m + j, CASE WHEN page_id % 2 = 0 THEN 'loses' WHEN j = 0 THEN 'fresh' ELSE 'keepsy' END, page_id * 100 + 2, false, false
+      FROM (SELECT page_id, kind, m, unnest(range(0, 1 + page_id % 2)) AS j FROM e_p)
+      UNION ALL SELECT page_id, kind, 5 * m + 1 + page_id % 2 + j, ['final', 'words', 'of', page_id::VARCHAR, 'here', '.'][j + 1], page_id * 100 + 7, false, false
+      FROM (SELECT page_id, kind, m, unnest(range(0, 6)) AS j FROM e_p))
+SELECT page_id, token_id::BIGINT AS token_id, value, origin_rev_id, page_id * 100 + CASE WHEN lost THEN 1 ELSE 7 END AS last_rev_id,
+       CASE WHEN away THEN (page_id * 100 + 5)::VARCHAR ELSE '' END AS inbound, CASE WHEN lost THEN (page_id * 100 + 2)::VARCHAR WHEN away THEN (page_id * 100 + 4)::VARCHAR ELSE '' END AS outbound FROM o""")
+def edit_tokens(spark, sf_dir):
+    """Every token of the edited pages: replaced words, moved and removed sentences, none of any vandalism."""
+    rows = edited_tables(spark, sf_dir).tokens
+    return rows.select("page_id", F.col("token_id").cast("long").alias("token_id"), "value", "origin_rev_id", "last_rev_id", joined("inbound").alias("inbound"), joined("outbound").alias("outbound"))
+
+
+@query(f"""WITH {EDITED}, l AS (SELECT page_id, m, i, unnest(ids) AS token_id, unnest(w1) AS str, generate_subscripts(ids, 1) - 1 AS j FROM e_w)
+SELECT page_id, (5 * ((i + 1) % m) + j)::BIGINT AS pos, token_id::BIGINT AS token_id, str FROM l
+UNION ALL SELECT page_id, 5 * m + j, 5 * m + 1 + page_id % 2 + j, ['final', 'words', 'of', page_id::VARCHAR, 'here', '.'][j + 1] FROM (SELECT page_id, m, unnest(range(0, 6)) AS j FROM e_p)""")
+def edit_order(spark, sf_dir):
+    """Tokens of each edited page's latest revision in document order, after its last sentence moved to the front."""
+    tables = edited_tables(spark, sf_dir)
+    return views.listing(tables, views.latest(tables)).select("page_id", F.col("pos").cast("long").alias("pos"), F.col("token_id").cast("long").alias("token_id"), F.col("value").alias("str"))
+
+
+@query(f"""WITH {EDITED}, n AS (SELECT page_id, m, r, page_id % 2 AS odd, unnest(range(0, 5 * m + 1 + page_id % 2)) AS pos FROM e_p JOIN (SELECT DISTINCT page_id, r FROM e_s) USING (page_id)),
+k AS (SELECT *, pos - 5 * r AS q FROM n),
+e AS (SELECT *, CASE WHEN q <= 0 THEN pos WHEN odd = 0 AND q <= 2 THEN NULL WHEN odd = 1 AND q <= 4 THEN NULL ELSE pos - 1 - odd END AS old FROM k)
+SELECT page_id, pos::BIGINT AS pos, CASE WHEN old IS NOT NULL THEN 'keep' WHEN odd = 0 THEN ['delete', 'insert'][q] ELSE ['insert', 'delete', 'insert', 'delete'][q] END AS op,
+       CASE WHEN old IS NOT NULL THEN ['s' || (old // 5), 'keeps', (page_id * 100 + old // 5)::VARCHAR, 'item', '.'][old % 5 + 1] WHEN odd = 0 THEN ['keeps', 'loses'][q]
+            ELSE ['fresh', 'keeps', 'keepsy', (page_id * 100 + r)::VARCHAR][q] END AS value FROM e""")
+def edit_diffs(spark, sf_dir):
+    """The transcript from each edited page's first revision to its second: a replaced word, or two that are matched by likeness."""
+    rows = histories.edited(spark, sf_dir).filter("ord < 2").groupBy("page_id").agg(F.min_by("text", "ord").alias("a"), F.max_by("text", "ord").alias("b"))
+    rows = rows.select("page_id", F.posexplode(transcript(X.all_tokens(F.lower("a")), X.all_tokens(F.lower("b")))).alias("pos", "e"))
+    return rows.select("page_id", F.col("pos").cast("long").alias("pos"), "e.op", "e.value")
+
+
+@query(f"""WITH {EDITED}, l AS (SELECT page_id, m, i, unnest(ids) AS id, unnest(w1) AS str, generate_subscripts(ids, 1) - 1 AS j FROM e_w),
+c AS (SELECT page_id, 5 * i + j AS pos, str, CASE WHEN j = 0 AND i > 0 OR j BETWEEN 1 AND 3 THEN ' ' ELSE '' END AS gap, CASE WHEN id >= 5 * m THEN '1' ELSE md5('0|host-0') END AS kind FROM l)
+SELECT page_id, string_agg('<span class="editor-token token-editor-' || kind || '" id="token-' || pos || '">' || gap || str || '</span>', '' ORDER BY pos) AS text FROM c GROUP BY page_id""")
+def edit_markup(spark, sf_dir):
+    """The second revision of each edited page with spans that name the editors of its tokens."""
+    tables = edited_tables(spark, sf_dir)
+    wanted = tables.revisions.filter("ord = 1").select("lang", "page_id", "rev_id")
+    texts = histories.edited(spark, sf_dir).join(wanted, ["lang", "page_id", "rev_id"], "left_semi")
+    return annotate.annotated_texts(views.colours(tables, NOW, wanted), texts).select("page_id", "text")
+
+
+@query(f"""WITH {EDITED} SELECT page_id, page_id * 100 + o AS rev_id, kind < 2 AND o IN (4, 5) AS is_vandalism FROM (SELECT page_id, kind, unnest(range(1, 9)) AS o FROM e_p)""")
+def vandalism_asked(spark, sf_dir):
+    """Whether asked revisions of the edited pages, of which one was hidden and one never was, are vandalism."""
+    asked = histories.edited(spark, sf_dir).select("lang", "page_id", F.col("rev_id"))
+    asked = asked.unionByName(table(spark, sf_dir, "customer").select(F.lit("en").alias("lang"), F.col("c_custkey").alias("page_id"), (F.col("c_custkey") * 100 + 8).alias("rev_id")))
+    return views.is_vandalism(edited_tables(spark, sf_dir), asked).select("page_id", "rev_id", "is_vandalism")
 
 
 # ---- comparisons ------------------------------------------------------------------------------------------------------------
@@ -394,6 +502,33 @@ def field_differences(spark, sf_dir):
     return rows.select("page_id", "pos", "str", joined("in_only_got").alias("in_only_got"), joined("in_only_expected").alias("in_only_expected"))
 
 
+@query("""WITH r AS (SELECT l_orderkey AS page_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1 AS pos, l_suppkey AS s, l_quantity::BIGINT AS q, l_partkey AS p FROM lineitem)
+SELECT page_id, count(*) AS n_expected, count(*) FILTER (s % 7 <> 0) AS str_match, count(*) FILTER (p % 5 <> 0) AS o_rev_id_match, count(*) AS inbound_match, count(*) AS outbound_match,
+       count(*) FILTER (q % 4 <> 0) AS conflict_score_match, count(*) FILTER (s % 3 <> 0) AS class_name_match, count(*) FILTER (q % 3 <> 2) AS age_match FROM r WHERE pos < 5 GROUP BY page_id""")
+def colour_tally(spark, sf_dir):
+    """Field by field agreement of two listings of coloured tokens, by position; ages agree within 1.5 seconds."""
+    got, _ = _literal_tokens(spark, sf_dir)
+    rows = table(spark, sf_dir, "lineitem").withColumn("pos", (F.row_number().over(W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")) - 1).cast("int"))
+    rows = rows.select(F.lit("en").alias("lang"), F.col("l_orderkey").alias("page_id"), F.lit(1).cast("long").alias("rev_id"), "pos", F.col("l_suppkey").alias("s"), F.col("l_quantity").cast("long").alias("q"), F.col("l_partkey").alias("p"))
+    none = F.array().cast("array<long>")
+    side = lambda off: rows.select(
+        "lang", "page_id", "rev_id", "pos", F.when(off & (F.col("s") % 7 == 0), "x").otherwise(F.col("s").cast("string")).alias("str"), F.when(off & (F.col("p") % 5 == 0), -1).otherwise(F.col("p")).alias("o_rev_id"), none.alias("inbound"), none.alias("outbound"),
+        F.when(off & (F.col("q") % 4 == 0), -1).otherwise(F.col("q")).alias("conflict_score"), F.when(off & (F.col("s") % 3 == 0), "x").otherwise("y").alias("class_name"), (F.col("q") + F.when(off, F.col("q") % 3).otherwise(0)).cast("double").alias("age"),
+    )
+    return compare.colour_tally(side(F.lit(False)), side(F.lit(True)).filter("pos < 5")).drop("lang", "rev_id")
+
+
+@query("""SELECT o_custkey AS page_id, count(*) AS n_expected, count(*) FILTER (o_orderkey % 4 <> 0 AND o_orderkey % 5 <> 0 AND o_orderkey % 7 <> 0) AS n_match FROM orders GROUP BY o_custkey""")
+def revision_tally(spark, sf_dir):
+    """Revisions with the same timestamp, parent and class on either side; of some, only one side knows."""
+    key, off = F.col("o_orderkey"), lambda on, n: F.lit(on) & (F.col("o_orderkey") % n == 0)
+    side = lambda on: table(spark, sf_dir, "orders").select(
+        F.lit("en").alias("lang"), F.col("o_custkey").alias("page_id"), key.alias("rev_id"), F.when(off(on, 4), "x").otherwise(F.col("o_orderdate").cast("string")).alias("timestamp"),
+        F.when(off(on, 5), -1).otherwise(key - 1).alias("parent_rev_id"), F.lit("c").alias("class_name"),
+    )
+    return compare.revision_tally(side(False).filter(key % 7 != 0), side(True)).drop("lang")
+
+
 @query("""
 SELECT l_orderkey AS page_id, round(avg(epoch(l_shipdate) + l_quantity))::BIGINT AS capture FROM
  (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1 AS pos FROM lineitem) WHERE pos < 10 GROUP BY l_orderkey""")
@@ -457,10 +592,6 @@ def resumed_tokens(spark, sf_dir):
 def turn_diffs(spark, sf_dir):
     """The transcript from each turn to the next, one row for each entry."""
 
-    @F.udf("array<struct<op: string, value: string>>")
-    def transcript(a, b):
-        return differ.compare(a, b)
-
     rows = histories.turns(spark, sf_dir).select("page_id", "ord", X.all_tokens(F.lower("text")).alias("t"))
     rows = rows.withColumn("before", F.lag("t").over(W.partitionBy("page_id").orderBy("ord"))).filter("before is not null")
     return rows.select("page_id", "ord", F.posexplode(transcript("before", "t")).alias("pos", "e")).select("page_id", "ord", "pos", "e.op", "e.value")
@@ -476,6 +607,33 @@ def annotated_markup(spark, sf_dir):
     return rows.select("page_id", "rev_id", "text", F.to_json("editors").alias("editors"))
 
 
+@query()
+def colour_envelopes(spark, sf_dir):
+    """The JSON envelope of colours, editors and annotated markup of each page's latest revision."""
+    tables = growing_tables(spark, sf_dir)
+    coloured = views.colours(tables, NOW)
+    texts = histories.growing(spark, sf_dir).join(views.latest(tables), ["lang", "page_id", "rev_id"], "left_semi")
+    users = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("user_id"), F.col("c_name").alias("user_name"))
+    return views.colour_envelope(tables, coloured, annotate.annotated_texts(coloured, texts), users).select("page_id", "rev_id", "content")
+
+
+@query()
+def served_answers(spark, sf_dir):
+    """Answers of the read service over a store of the growing history to one request of each kind (the requests are the feature)."""
+    kept = store.Store(spark, f"{scratch(spark)}/served-{uuid.uuid4().hex}/store")
+    history = histories.growing(spark, sf_dir)
+    kept.write(attribute(history))
+    users = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("user_id"), F.col("c_name").alias("user_name"))
+    service = serving.Service(kept, users, history)
+    asked = {
+        "revision": lambda: service.rev_content("en", rev_id=302, fields=views.FIELDS), "title": lambda: service.rev_content("en", title="Talk 3"), "page": lambda: service.rev_content("en", page_id=4, fields=("token_id",)),
+        "range": lambda: service.rev_content("en", page_id=3, rev_id=301, end_rev_id=303), "unknown": lambda: service.rev_content("en", rev_id=1), "no title": lambda: service.rev_content("en", title="None"),
+        "colours": lambda: service.colours("en", "Talk 3", NOW), "colours of a revision": lambda: service.colours("en", "Talk_3", NOW, 302), "no colours": lambda: service.colours("en", "None", NOW),
+    }
+    rows = [(kind, a.status, json.dumps(a.body, ensure_ascii=False)) for kind, ask in asked.items() for a in [ask()]]
+    return spark.createDataFrame(rows, "request string, status int, body string")
+
+
 @query()
 def annotated_pages(spark, sf_dir):
     """Web pages with spans around the tokens of their URL's path, for the editors that their numbers stand for."""

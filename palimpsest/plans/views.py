@@ -90,6 +90,13 @@ def present_editors(rows: DataFrame) -> DataFrame:
     return counted.select(*key, "editor", X.editor_class("editor").alias("class_name"), "n_tokens", (F.col("n_tokens") * 100.0 / total).alias("percent"), place.alias("place"))
 
 
+def registered_editors(tables: Tables) -> DataFrame:
+    """(lang, page_id, editor, place): the accounts among the editors of a page's stored revisions, each once, in the order in which
+    they come first."""
+    first = tables.revisions.filter(F.col("editor").rlike("^[0-9]+$")).groupBy(*PAGE, "editor").agg(F.min("ord").alias("first"))
+    return first.select(*PAGE, "editor", F.row_number().over(W.partitionBy(*PAGE).orderBy("first")).alias("place"))
+
+
 def display_names(rows: DataFrame, users: DataFrame, column: str = "editor") -> DataFrame:
     """`rows` with editor_name: the account's name for a numeric editor, else the editor as it is."""
     named = users.filter("user_name is not null").select(F.col("user_id").cast("string").alias("u_"), F.col("user_name").alias("n_")).dropDuplicates(["u_"])
