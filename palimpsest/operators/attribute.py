@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -47,7 +48,7 @@ def _dump(page: Page, lang: str | None, page_id: int | None, title: str | None,
     rows = {
         "input": inputs,
         "revision": [(r.ord, r.id, r.editor, r.timestamp, r.length, r.original_adds, [b.id for b in r.paragraphs], r.token_ids()) for r in (page.revisions[i] for i in page.order)],
-        "token": [(i, t.value, t.origin, t.last, t.restored, t.removed) for i, t in enumerate(page.tokens)],
+        "token": [(i, t.value, t.origin, last, t.restored, t.removed) for i, (t, last) in enumerate(zip(page.tokens, page.seen_last.tolist()))],
         "paragraph": [(i, b.hash, [s.id for s in b.parts]) for i, b in sorted(blocks["p"].items())],
         "sentence": [(i, b.hash, b.parts) for i, b in sorted(blocks["s"].items())],
         "meta": [(title, page.paragraph_count, page.sentence_count, page.vandal_ids, sorted(page.vandal_hashes))],
@@ -69,7 +70,9 @@ def _load(state: pa.Table) -> tuple[Page, str | None, list[tuple]]:
     for kind in _KINDS:
         column = state.column(kind)
         rows[kind] = column.filter(column.is_valid()).to_pylist()
-    page.tokens = [Token(t["value"], t["origin_rev_id"], t["last_rev_id"], t["inbound"], t["outbound"]) for t in sorted(rows["token"], key=lambda t: t["token_id"])]
+    found = sorted(rows["token"], key=lambda t: t["token_id"])
+    page.tokens = [Token(t["value"], t["origin_rev_id"], t["inbound"], t["outbound"]) for t in found]
+    page.seen_last = np.array([t["last_rev_id"] for t in found] + [0] * max(1, 1024 - len(found)), np.int64)
     sentences = {s["sentence_id"]: Block(s["sentence_id"], s["hash"], s["token_ids"]) for s in rows["sentence"]}
     paragraphs = {}
     for p in sorted(rows["paragraph"], key=lambda p: p["paragraph_id"]):

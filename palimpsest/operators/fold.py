@@ -11,6 +11,8 @@ from collections import defaultdict, deque
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
+
 from palimpsest.functions import plain
 from palimpsest.functions.rules import DENSITY_LIMIT
 from palimpsest.operators import differ
@@ -22,7 +24,6 @@ STORED, KNOWN_HASH, SHRUNK, DENSE = "stored", "hash_match", "length_shrink", "to
 class Token:
     value: str
     origin: int
-    last: int
     restored: list[int] = field(default_factory=list)  # revisions that brought it back
     removed: list[int] = field(default_factory=list)  # revisions that took it out
 
@@ -33,6 +34,7 @@ class Block:
     hash: str
     parts: list = field(default_factory=list)  # of a paragraph: sentences in order; of a sentence: token ids
     by_hash: dict | None = None  # of a paragraph: its sentences by hash
+    flat: tuple | None = None
 
     def token_ids(self) -> Iterator[int]:
         if self.by_hash is None:
@@ -41,6 +43,13 @@ class Block:
             for s in self.parts:
                 yield from s.parts
 
+    @property
+    def settled(self) -> tuple[int, ...]:
+        """The token ids of a block of an earlier revision, which doesn't change any more."""
+        if self.flat is None:
+            self.flat = tuple(self.token_ids())
+        return self.flat
+
     def add(self, sentence: Block) -> None:
         self.parts.append(sentence)
         self.by_hash.setdefault(sentence.hash, []).append(sentence)
@@ -65,8 +74,8 @@ class _Step:
 
     def __init__(self) -> None:
         self.tokens: set[int] = set()
+        self.gone: set[int] = set()  # tokens that this revision took out
         self.blocks: set[Block] = set()
-        self.touched: dict[str, list[Block]] = {"p": [], "s": []}  # old blocks that matched, or whose tokens all did
         self.new: dict[str, list] = {"p": [], "s": []}
         self.left: dict[str, list[Block]] = {"p": [], "s": []}
 
@@ -76,14 +85,13 @@ class _Step:
         for block in candidates:
             if block in self.blocks:
                 continue
-            fresh = self.tokens.isdisjoint(block.token_ids())
-            if fresh or self.tokens.issuperset(block.token_ids()):
+            fresh = self.tokens.isdisjoint(block.settled)
+            if fresh or self.tokens.issuperset(block.settled):
                 self.blocks.add(block)
-                self.touched[level].append(block)
             if fresh:
                 if block.by_hash is not None:
                     self.blocks.update(block.parts)
-                self.tokens.update(block.token_ids())
+                self.tokens.update(block.settled)
                 return block
         return None
 
@@ -93,6 +101,7 @@ class Page:
 
     def __init__(self) -> None:
         self.tokens: list[Token] = []
+        self.seen_last = np.zeros(1024, np.int64)  # of each token, the latest revision it was seen in
         self.paragraph_count = self.sentence_count = 0
         self.known: dict[str, dict[str, list[Block]]] = {"p": {}, "s": {}}
         self.revisions: dict[int, Revision] = {}
@@ -113,9 +122,13 @@ class Page:
         return Block(self.sentence_count - 1, value_hash)
 
     def _token(self, value: str, revision: Revision) -> int:
-        self.tokens.append(Token(value, revision.id, revision.id))
+        at = len(self.tokens)
+        if at == len(self.seen_last):
+            self.seen_last = np.concatenate((self.seen_last, np.zeros_like(self.seen_last)))
+        self.tokens.append(Token(value, revision.id))
+        self.seen_last[at] = revision.id
         revision.original_adds += 1
-        return len(self.tokens) - 1
+        return at
 
     def apply(self, rev_id: int, text: str, timestamp: str = "", sha1: str | None = None, comment: str | None = None, minor: bool = False, user_id: int | None = None, user_name: str | None = None, ord: int | None = None) -> str:
         """Take in one revision; whether it was stored, or by which rule it was vandalism and left no trace but its mark."""
@@ -184,7 +197,6 @@ class Page:
                 if block not in step.blocks:  # what is left over is looked at again by its tokens
                     step.blocks.add(block)
                     step.left["s"].append(block)
-                    step.touched["s"].append(block)
         return words
 
     def _match_tokens(self, step: _Step, words: list[list[str]], now: Revision) -> None:
@@ -220,21 +232,19 @@ class Page:
                             placed = t
                         else:
                             self.tokens[t].removed.append(now.id)
+                            step.gone.add(t)
                 block.parts.append(self._token(w, now) if placed is None else placed)
 
     def _record(self, step: _Step, before: int, now: int) -> None:
         """Removals of what nothing matched; restorations of what was matched, but not part of the revision before."""
         for block in step.left["s"] or step.left["p"]:
-            for t in block.token_ids():
+            for t in block.settled:
                 if t not in step.tokens:
                     self.tokens[t].removed.append(now)
-        seen = set()
-        for block in step.touched["p"] + step.touched["s"]:
-            for t in block.token_ids():
-                if t in step.tokens and t not in seen:
-                    seen.add(t)
-                    token = self.tokens[t]
-                    if not token.removed or token.removed[-1] != now:
-                        if token.last != before:
-                            token.restored.append(now)
-                        token.last = now
+        found = step.tokens - step.gone  # whatever was matched is part of an old block that was touched
+        if now in self.revisions:  # an id that comes again
+            found = {t for t in found if self.tokens[t].removed[-1:] != [now]}
+        places = np.fromiter(found, np.int64, len(found))
+        for t in places[self.seen_last[places] != before].tolist():
+            self.tokens[t].restored.append(now)
+        self.seen_last[places] = now

@@ -66,7 +66,7 @@ def test_removed_word():
     p = Page()
     p.apply(100, "alpha beta gamma delta")
     p.apply(101, "alpha gamma delta")
-    assert len(p.tokens) == 4 and find(p, "beta")[0].removed == [101] and find(p, "alpha")[0].last == 101
+    assert len(p.tokens) == 4 and find(p, "beta")[0].removed == [101] and p.seen_last[p.tokens.index(find(p, "alpha")[0])] == 101
 
 
 def test_paragraph_out_and_back():
@@ -75,7 +75,7 @@ def test_paragraph_out_and_back():
     p.apply(101, "first one here")
     p.apply(102, "first one here\n\nsecond one there")
     t = find(p, "second")
-    assert len(t) == 1 and t[0].removed == [101] and t[0].restored == [102] and t[0].last == 102
+    assert len(t) == 1 and t[0].removed == [101] and t[0].restored == [102] and p.seen_last[p.tokens.index(t[0])] == 102
 
 
 def test_repeated_paragraphs_keep_their_tokens():
@@ -110,7 +110,7 @@ def test_page_invariants():
             assert words(p, rev) == plain.all_tokens(texts[rev].lower())
             assert p.revisions[rev].original_adds == sum(t.origin == rev for t in p.tokens)
         for t in p.revisions[p.order[-1]].token_ids():
-            assert p.tokens[t].last == p.order[-1]
+            assert p.seen_last[t] == p.order[-1]
 
 
 HISTORY = "lang string, page_id long, title string, ord int, rev_id long, timestamp string, comment string, minor boolean, user_id long, user_name string, text string, text_hidden boolean"
