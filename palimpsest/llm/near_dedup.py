@@ -27,7 +27,6 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from palimpsest.llm.common import body
@@ -276,8 +275,8 @@ def _grouped(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shin
     nodes = materialize(nodes, "near-nodes")
 
     cells = nodes.select("node", F.explode("bands").alias("bucket"))
-    cells = cells.withColumn("n", F.count("*").over(W.partitionBy("bucket"))).filter("n > 1")
-    cells = materialize(cells, "near-cells")
+    met_in = cells.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")  # counted before the shuffle, so that no bucket meets in one task
+    cells = materialize(cells.join(met_in, "bucket"), "near-cells")
     met = cells.groupBy("bucket", "n").agg(F.bit_xor(F.xxhash64(F.lit(5), "node")).alias("h"), F.bit_xor(F.xxhash64(F.lit(7), "node")).alias("x"))
     met = met.groupBy("n", "h", "x").agg(F.min("bucket").alias("bucket"))
     blocks = F.ceil(F.col("n") / (BLOCK // 2)).cast("int")
