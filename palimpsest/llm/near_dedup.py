@@ -1,7 +1,7 @@
 """Near-duplicate groups by SuperMinHash, banding, verification and union-find.
 
-A SuperMinHash signature lets each element rank the slots by a random permutation of its own (a random start and step
-modulo a prime): at rank j the element offers j + a random fraction to its j-th slot, and each slot keeps the lowest. Ranks are tried from 0 up for all
+A SuperMinHash signature lets each element rank the slots by a random permutation of its own (one fixed shuffle of the slots, then
+a random start and factor modulo a prime): at rank j the element offers j + a random fraction to its j-th slot, and each slot keeps the lowest. Ranks are tried from 0 up for all
 elements together; once every slot holds less than the next rank, no later offer can win and the rest is skipped.
 
 Texts with equal shingle sets are one node. Signatures are cut into bands; nodes that share a band's hash meet in a
@@ -107,8 +107,10 @@ def shingle_sets(texts: pa.Array, size: int) -> Iterator[np.ndarray]:
 
 
 def signatures(sets: list[np.ndarray], slots: int) -> np.ndarray:
-    """A SuperMinHash for each non-empty set; `slots` is prime. An element's permutation is a random step modulo `slots`."""
+    """A SuperMinHash for each non-empty set; `slots` is prime. An element's permutation sends rank j to start + factor * shuffled[j]:
+    without the shuffle the first slots of an element would lie evenly, and so in more bands than they should, or fewer."""
     out = np.empty((len(sets), slots))
+    shuffled = np.argsort(mixed(np.arange(1, slots + 1, dtype=np.uint64) * np.uint64(ODD[0]))).tolist()
     order = np.argsort([len(s) for s in sets], kind="stable")
     at = 0
     while at < len(order):
@@ -122,19 +124,17 @@ def signatures(sets: list[np.ndarray], slots: int) -> np.ndarray:
         element = np.concatenate([sets[i] for i in mine])
         base = np.repeat(np.arange(len(mine)) * slots, [len(sets[i]) for i in mine])
         draw = mixed(element ^ np.uint64(ODD[1]))
-        slot = (draw >> np.uint64(32)).astype(np.int64) % slots
-        step = 1 + (draw & np.uint64(0xFFFFFFFF)).astype(np.int64) % (slots - 1)
+        start = (draw >> np.uint64(32)).astype(np.int64) % slots
+        factor = 1 + (draw & np.uint64(0xFFFFFFFF)).astype(np.int64) % (slots - 1)
         for j in range(slots):
             offer = (mixed(element + np.uint64((j + 1) * ODD[2] & 0xFFFFFFFFFFFFFFFF)) >> np.uint64(12)) * 2.0**-52 + j
-            np.minimum.at(flat, base + slot, offer)
+            np.minimum.at(flat, base + (start + factor * shuffled[j]) % slots, offer)
             done = best.max(1) <= j + 1
             if done.all():
                 break
-            slot += step
-            slot[slot >= slots] -= slots
             if j % 4 == 3 and done.any():
                 use = ~done[base // slots]
-                element, base, slot, step = element[use], base[use], slot[use], step[use]
+                element, base, start, factor = element[use], base[use], start[use], factor[use]
         out[mine] = best
         at = to
     return out
