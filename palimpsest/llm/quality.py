@@ -48,7 +48,8 @@ _KIND[[*b"0123456789"]] = 1
 _KIND[65:91] = 2
 _KIND[[*b" \t\n\r\v\f"]] = 3
 _KIND[[*b"!\"#$%&*+/<=>?@[\\]^_`{|}~"]] = 4
-_END = re.compile(r"(?<![!#$%&*+<=>@^_|~])[!#$%&*+<=>@^_|~]{2,}+(?=\s|$)")  # a run is tried once, from its start
+_SYMBOL = r"[!#$%&*+<=>@^_|~]"
+_END = re.compile(rf"{_SYMBOL}(?<!{_SYMBOL}{_SYMBOL}){_SYMBOL}++(?=\s|$)")  # a run is tried once, from its start
 _LONE = re.compile(r"(?:^|\s)[^\w\s]++(?=\s|$)")
 
 
