@@ -12,8 +12,17 @@ from palimpsest.llm import bpe, exact_dedup, mixing, near_dedup, quality
 from palimpsest.session import materialize, ship, table
 
 
+#: Rows of an Arrow batch, held by the JVM and by Python at once: a tenth of Spark's own, for whole documents are large rows.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that a classifier fitted on the labelled ones among them doesn't reject."""
+    small_batches(spark)
     return quality.keep(docs, table(spark, sf_dir, "labels"))
 
 
@@ -24,6 +33,7 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group linked by a resemblance of 0.8 on five-word shingles: that with the smallest id."""
+    small_batches(spark)
     return near_dedup.keep(docs)
 
 
@@ -34,6 +44,7 @@ def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document, and whether they decode to its text."""
+    small_batches(spark)
     encoded = bpe.encode(docs.select("doc_id", "source", F.coalesce("text", F.lit("")).alias("text")), "byte_bpe_50k.json")
     return encoded.select("doc_id", "source", "n_tokens", "ids", (F.col("decoded") == F.col("text")).alias("round_trip"))
 
