@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from palimpsest.llm.common import body, fresh
+from palimpsest.llm.common import body, fresh, frugal
 from palimpsest.session import table
 
 #: What Unicode calls white space.
@@ -272,7 +272,6 @@ def slices(texts: pa.Array) -> Iterator[tuple[int, list[str]]]:
         size += n
     if at < len(lengths):
         yield at, [t or "" for t in texts.slice(at).to_pylist()]
-    pa.default_memory_pool().release_unused()
 
 
 def encode(df: DataFrame, path: str, text_col: str = "text") -> DataFrame:
@@ -281,6 +280,7 @@ def encode(df: DataFrame, path: str, text_col: str = "text") -> DataFrame:
     at = df.columns.index(text_col)
     fields = T.StructType([*df.schema.fields, T.StructField(names[0], T.LongType()), T.StructField(names[1], T.ArrayType(T.IntegerType())), T.StructField(names[2], T.StringType())])
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(vocabulary(path))
         for batch in batches:

@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import time
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -29,6 +35,36 @@ def held_out(doc_id: str | Column) -> Column:
     return F.coalesce(F.crc32(c.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+#: Seconds between two times that a worker gives memory back.
+GIVE_BACK_S = 1.0
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+
+
+def give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
+
+
+def frugal(mapper: Callable[..., Iterator[pa.RecordBatch]]) -> Callable[..., Iterator[pa.RecordBatch]]:
+    """A mapper of Arrow batches whose worker gives freed memory back to the system, now and then and at its end.
+
+    Workers live on between tasks and stages, beside the JVM: what their allocators keep counts against their executor.
+    """
+
+    @functools.wraps(mapper)
+    def run(*args, **how) -> Iterator[pa.RecordBatch]:
+        given = time.monotonic()
+        for batch in mapper(*args, **how):
+            yield batch
+            if time.monotonic() - given > GIVE_BACK_S:
+                give_back()
+                given = time.monotonic()
+        give_back()
+
+    return run
+
+
 #: Ranges of ids that `following` cuts a table into, at most.
 MOST_RANGES = 1024
 

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import body
+from palimpsest.llm.common import body, frugal
 from palimpsest.llm.components import components
 from palimpsest.session import materialize, table
 
@@ -166,6 +166,7 @@ def _node(hashes: np.ndarray) -> bytes | None:
     return hashlib.md5(hashes.tobytes()).digest() if len(hashes) else None
 
 
+@frugal
 def _signed(batches: Iterator[pa.RecordBatch], size: int, rows: int) -> Iterator[pa.RecordBatch]:
     """(id, print, n_shingles, node, bands): the bands only with the first row of a node among ROWS."""
     for batch in (b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS)):
@@ -180,9 +181,9 @@ def _signed(batches: Iterator[pa.RecordBatch], size: int, rows: int) -> Iterator
         for (i, _), b in zip(new.values(), signed):
             cells[i] = b
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(nodes, pa.binary()), pa.array(cells, pa.list_(pa.int64()))], ["id", "print", "n_shingles", "node", "bands"])
-    pa.default_memory_pool().release_unused()
 
 
+@frugal
 def _sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     """(node, hashes) of texts."""
     for batch in (b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS)):
@@ -235,6 +236,7 @@ def linked(sets: list[np.ndarray], num: int, den: int) -> np.ndarray:
     return root
 
 
+@frugal
 def _links(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
     """Edges (u, v) from each member of a bucket to its component's first; rows come sorted by bucket."""
     key, nodes, sets = None, [], []

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from palimpsest.llm.common import body, fresh, held_out
+from palimpsest.llm.common import body, fresh, frugal, held_out
 from palimpsest.session import table
 
 #: Bound of the training sample, rounds, and the shapes of trees and tables.
@@ -204,6 +204,7 @@ def fit(x: np.ndarray, y: np.ndarray) -> Gam:
     return model
 
 
+@frugal
 def _measure(batches: Iterator[pa.RecordBatch], at: int) -> Iterator[pa.RecordBatch]:
     """Label and features of labelled rows."""
     for batch in (b.slice(k, ROWS) for b in batches for k in range(0, b.num_rows, ROWS)):
@@ -224,11 +225,11 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return fit(x[order], y[order])
 
 
+@frugal
 def _score(batches: Iterator[pa.RecordBatch], model: Gam, at: int, name: str) -> Iterator[pa.RecordBatch]:
     for batch in (b.slice(k, ROWS) for b in batches for k in range(0, b.num_rows, ROWS)):
         x = np.array([features(t or "") for t in batch.column(at).to_pylist()], float)
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(model.score(x), pa.float64())], [*batch.schema.names, name])
-    pa.default_memory_pool().release_unused()
 
 
 def score(df: DataFrame, model: Gam, text_col: str = "text") -> DataFrame:
