@@ -80,7 +80,8 @@ def mix(df: DataFrame, size: Column, id_col: str = "doc_id", source_col: str = "
 
 
 def repeat(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
-    """The mixed rows themselves: each row of `df` as many times as the nearest whole number of its taken share."""
+    """The mixed rows themselves: each row of `df` as many times as the nearest whole number of its taken share. A row
+    without words takes nothing of a budget of words: it isn't repeated, and so isn't in the result."""
     mixed = mix(df, words(text_col), id_col, source_col, **how)
     size, _, _, taken = mixed.columns[len(df.columns):]
     copies = F.when(F.col(size) > 0, F.round(F.col(taken) / F.col(size))).otherwise(0).cast("int")

@@ -14,7 +14,8 @@ Bands are sized so that a pair at the threshold is missed by all of them with a
 
 Defined results: null and empty texts, and texts without words, have an empty set, link to nothing and stay. A text of
 fewer words than a shingle is one shingle. Groups are named by their smallest id; null ids are larger than all, and a
-group of null ids only is named null. Rows with equal ids are one document to `keep`. Other columns are carried along.
+group of null ids only is named null. `keep` decides by rows: of different texts under one id each goes by its own group,
+rows that repeat both id and text stay or go together. Other columns are carried along.
 """
 
 from __future__ import annotations

@@ -74,13 +74,16 @@ def conversations(turns: DataFrame) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each conversation up to its last assistant turn is chosen; rejected is the same with that turn's text from the next
-    conversation (by ascending id, after the last the first) in place of its own."""
+    conversation that has one (by ascending id, after the last the first) in place of its own. A conversation without an
+    assistant turn has nothing to complete: all of it is prompt, and both completions are empty."""
     talks = conversations(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
     at = F.array_max(F.transform("turns", lambda t, i: F.when(t["role"].eqNullSafe(F.lit("assistant")), i + 1).otherwise(0)))
-    talks = talks.withColumn("last", at).filter("last > 0").withColumn("reply", F.get("turns", F.col("last") - 1)["text"])
-    pairs = following(talks, "conv_id", ["reply"])
+    talks = talks.withColumn("last", at)
+    answered = talks.filter("last > 0").withColumn("reply", F.get("turns", F.col("last") - 1)["text"])
+    pairs = following(answered, "conv_id", ["reply"])
     other = F.array(F.struct(F.lit("assistant").alias("role"), F.col("next_reply").alias("text")))
     pairs = pairs.select("conv_id", F.slice("turns", F.lit(1), F.col("last")).alias("chosen_turns"), F.concat(F.slice("turns", F.lit(1), F.col("last") - 1), other).alias("rejected_turns"))
+    pairs = pairs.unionByName(talks.filter("last = 0").select("conv_id", F.col("turns").alias("chosen_turns"), F.col("turns").alias("rejected_turns")))
     written = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"))), ",").alias(c)
     return format_pairs(pairs).select("conv_id", "n_prefix_turns", "prompt", "chosen", "rejected", written("chosen_mask"), written("rejected_mask"))
 
@@ -91,7 +94,8 @@ WITH c AS (SELECT conv_id, list({'r': role, 't': text} ORDER BY turn NULLS FIRST
 l AS (SELECT *, list_max(list_transform(range(1, len(a) + 1), lambda i: CASE WHEN a[i].r = 'assistant' THEN i ELSE 0 END)) AS k FROM c),
 n AS (SELECT *, a[k].t AS reply, coalesce(lead(a[k].t) OVER (ORDER BY conv_id), first_value(a[k].t) OVER (ORDER BY conv_id)) AS other FROM l WHERE k > 0),
 p AS (SELECT conv_id, reply IS NOT DISTINCT FROM other AS same, a, k,
-             replace(coalesce(reply, ''), '<|', '<\|') || '<|end|>' || chr(10) AS mine, replace(coalesce(other, ''), '<|', '<\|') || '<|end|>' || chr(10) AS theirs FROM n)
+             replace(coalesce(reply, ''), '<|', '<\|') || '<|end|>' || chr(10) AS mine, replace(coalesce(other, ''), '<|', '<\|') || '<|end|>' || chr(10) AS theirs FROM n
+      UNION ALL SELECT conv_id, true, a, len(a), '', '' FROM l WHERE k = 0)
 SELECT conv_id, (CASE WHEN same THEN k ELSE k - 1 END)::BIGINT AS n_prefix_turns,
        coalesce(array_to_string(list_transform(a[1:(CASE WHEN same THEN k ELSE k - 1 END)],
            lambda t: '<|' || coalesce(t.r, 'unknown') || '|>' || chr(10) || replace(coalesce(t.t, ''), '<|', '<\|') || '<|end|>' || chr(10)), ''), '') AS prompt,

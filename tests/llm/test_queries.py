@@ -17,6 +17,8 @@ from test_python import WORD, brute_groups, brute_passages, brute_repeats
 import corpus_pipeline
 from palimpsest.llm import mixing, quality, registry
 
+#: Conversations without an assistant turn.
+SILENT = [(-5, 1, "user", "any <|one|> there?"), (-5, 2, "user", None), (900_001, 1, None, "x")]
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 sha = lambda data: hashlib.sha256(data if isinstance(data, bytes) else data.encode()).hexdigest()
 
@@ -33,8 +35,10 @@ def folder(spark, tmp_path_factory):
     odd += [" ".join(w if k % 60 != c else f"new{c}" for k, w in enumerate(base)) for c in range(8)] + [docs[0][1]] * 4 + [docs[3][1]]
     docs += [(10_000 + 7 * k, t, "en", [None, "source-1", "tiny"][k % 3], None) for k, t in enumerate(odd)]
     spark.createDataFrame(docs, DOCS).repartition(3).write.parquet(f"{root}/documents.parquet")
-    for t in ("labels", "conversations"):
-        spark.read.parquet(f"{small}/{t}.parquet").write.parquet(f"{root}/{t}.parquet")
+    spark.read.parquet(f"{small}/labels.parquet").write.parquet(f"{root}/labels.parquet")
+    talks = spark.read.parquet(f"{small}/conversations.parquet")
+    silent = spark.createDataFrame(SILENT, "conv_id long, turn int, role string, text string")
+    talks.unionByName(silent, allowMissingColumns=True).write.parquet(f"{root}/conversations.parquet")
     return root, {d[0]: d for d in docs}
 
 
@@ -62,6 +66,14 @@ def test_queries_with_sql(spark, folder, name):
     assert rounded(got.collect()) == rounded(con.sql(registry.ORACLES[name]).select(*got.columns).fetchall())
 
 
+def test_op9_without_an_assistant(spark, folder):
+    got = {r["conv_id"]: r for r in registry.QUERIES["op9_preferences"](spark, folder[0]).collect()}
+    assert set(got) == {r["conv_id"] for r in spark.read.parquet(f"{folder[0]}/conversations.parquet").select("conv_id").distinct().collect()} - {None}
+    assert got[-5]["prompt"] == "<|user|>\nany <\\|one|> there?<|end|>\n<|user|>\n<|end|>\n" and got[-5]["n_prefix_turns"] == 2
+    assert got[900_001]["prompt"] == "<|unknown|>\nx<|end|>\n"
+    assert all(got[i][c] == "" for i in (-5, 900_001) for c in ("chosen", "rejected", "chosen_mask", "rejected_mask"))
+
+
 def test_op1(spark, folder):
     got = rows_of(spark, "op1_quality", folder)
     docs, labels = (spark.read.parquet(f"{folder[0]}/{t}.parquet") for t in ("documents", "labels"))
