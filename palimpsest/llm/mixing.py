@@ -55,18 +55,22 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, repeats: fl
 
 
 def mix(df: DataFrame, size: Column, id_col: str = "doc_id", source_col: str = "source", weights=WEIGHTS, share: float = SHARE, repeats: float = REPEATS, seed: str = SEED) -> DataFrame:
-    """`df` with size, source_size, target and taken (words that the mix takes, repeats counted)."""
+    """`df` with size, source_size, target and taken (words that the mix takes, repeats counted).
+
+    Sizes are counted once for the totals of sources and buckets, in a table of (id, source, size), and once with the rows.
+    """
     n = {x: fresh(df, x) for x in ("size", "source_size", "target", "taken", "key", "bucket", "prior", "source_no", "budget", "buckets", "source_is", "no_", "b_")}
-    rows = df.withColumn(n["size"], size)
-    stats = rows.groupBy(F.col(source_col).alias("source")).agg(F.sum(n["size"]).alias("source_size"), F.count("*").alias("source_rows"))
+    slim = materialize(df.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size")), "mix-sizes")
+    stats = slim.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("source_rows"))
     plan = materialize(targets(stats, weights, share, repeats), "mix-targets")
     side = plan.select(F.struct("source").alias(n["source_is"]), *(F.col(c).alias(n[c]) for c in ("source_no", "source_size", "target", "budget", "buckets")))
     if plan.count() <= BROADCAST_SOURCES:
         side = F.broadcast(side)
-    rows = rows.join(side, F.col(source_col).eqNullSafe(F.col(n["source_is"])["source"])).drop(n["source_is"])
-    rows = rows.withColumn(n["key"], shuffle_key(id_col, seed))
-    rows = rows.withColumn(n["bucket"], F.floor(F.col(n["key"]) / float(1 << 60) * F.col(n["buckets"])).cast("int"))
-    sums = rows.groupBy(F.col(n["source_no"]).alias(n["no_"]), F.col(n["bucket"]).alias(n["b_"])).agg(F.sum(n["size"]).alias("in_bucket"))
+    bucket = lambda key: F.floor(key / float(1 << 60) * F.col(n["buckets"])).cast("int")
+    rows = df.withColumn(n["size"], size).join(side, F.col(source_col).eqNullSafe(F.col(n["source_is"])["source"])).drop(n["source_is"])
+    rows = rows.withColumn(n["key"], shuffle_key(id_col, seed)).withColumn(n["bucket"], bucket(F.col(n["key"])))
+    sums = slim.join(side, F.col("source").eqNullSafe(F.col(n["source_is"])["source"]))
+    sums = sums.groupBy(F.col(n["source_no"]).alias(n["no_"]), bucket(shuffle_key("id", seed)).alias(n["b_"])).agg(F.sum("size").alias("in_bucket"))
     ahead = W.partitionBy(n["no_"]).orderBy(n["b_"]).rowsBetween(W.unboundedPreceding, -1)
     sums = sums.select(n["no_"], n["b_"], F.coalesce(F.sum("in_bucket").over(ahead), F.lit(0)).alias(n["prior"]))
     inside = W.partitionBy(n["source_no"], n["bucket"]).orderBy(n["key"], F.col(id_col), n["size"]).rowsBetween(W.unboundedPreceding, W.currentRow)
@@ -89,8 +93,8 @@ def repeat(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    return mix(docs, words("text")).select("doc_id", "size", "source_size", "target", "taken")
+    docs = materialize(table(spark, sf_dir, "documents").select("doc_id", "source", words("text").alias("words")), "words")
+    return mix(docs, F.col("words")).select("doc_id", "size", "source_size", "target", "taken")
 
 
 SQL = """
