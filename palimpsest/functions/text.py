@@ -125,6 +125,46 @@ def unzigzag(c: Column | str) -> Column:
     return F.shiftrightunsigned(_col(c), 1).bitwiseXOR(-_col(c).bitwiseAND(F.lit(1)))
 
 
+#: Bytes of the longest variable-length number: 64 bits, seven in each.
+VARINT_BYTES = 10
+
+
+def varint(c: Column | str) -> Column:
+    """The bytes of a number's 64 bits, seven in each from the lowest on; the top bit says that more follow."""
+    v = _col(c).cast("long")
+    rest = lambda i: F.shiftrightunsigned(v, 7 * i)
+    low = lambda i: rest(i).bitwiseAND(F.lit(127))
+    more = lambda i: rest(i + 1) != 0 if i + 1 < VARINT_BYTES else F.lit(False)
+    byte = lambda i: F.lpad(F.hex(F.when(more(i), low(i) + 128).otherwise(low(i))), 2, "0")
+    return F.when(v.isNotNull(), F.unhex(F.concat(byte(0), *(F.when(rest(i) != 0, byte(i)).otherwise("") for i in range(1, VARINT_BYTES)))))
+
+
+def unvarint(c: Column | str) -> Column:
+    """The number of such bytes; null if they end too early, go on after the number, or hold more than 64 bits."""
+    text = F.hex(_col(c))
+    byte = lambda i: F.coalesce(F.conv(F.substring(text, 2 * i + 1, 2), 16, 10).cast("long"), F.lit(0)).bitwiseAND(F.lit(127))
+    out = byte(0)
+    for i in range(1, VARINT_BYTES):
+        out = out.bitwiseOR(F.shiftleft(byte(i), 7 * i))
+    return F.when(text.rlike("^(?:(?:[89A-F].){0,8}[0-7].|(?:[89A-F].){9}0[01])$"), out)
+
+
+def sealed(c: Column | str, magic: bytes = b"") -> Column:
+    """Bytes between two marks, with the CRC-32 of all before it (big-endian) in front of the second."""
+    head = F.concat(F.lit(magic), _col(c))
+    return F.concat(head, F.unhex(F.lpad(F.hex(F.crc32(head)), 8, "0")), F.lit(magic))
+
+
+def opened(c: Column | str, magic: bytes = b"") -> Column:
+    """The bytes that were sealed; null if a mark or the checksum is another."""
+    whole, n = _col(c), len(magic)
+    size = F.octet_length(whole)
+    part = lambda start, length: F.substring(whole, start, length)
+    marked = (part(F.lit(1), F.lit(n)) == F.lit(magic)) & (part(size - n + 1, F.lit(n)) == F.lit(magic))
+    sound = F.hex(F.crc32(part(F.lit(1), size - n - 4))) == F.regexp_replace(F.hex(part(size - n - 3, F.lit(4))), "^0{1,7}", "")
+    return F.when((size >= 2 * n + 4) & marked & sound, part(F.lit(n + 1), size - 2 * n - 4))
+
+
 def wiki_name(lang: Column | str) -> Column:
     return F.concat(_col(lang), F.lit("wiki"))
 

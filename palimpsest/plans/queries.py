@@ -231,6 +231,17 @@ def zigzag_codes(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", X.zigzag(v).alias("zigzag"), X.unzigzag(X.zigzag(v)).alias("back"))
 
 
+@query("""
+WITH z AS (SELECT event_id, CASE WHEN v >= 0 THEN 2 * v ELSE -2 * v - 1 END AS z FROM (SELECT event_id, event_id * 37 - user_id * 11111 AS v FROM events)),
+n AS (SELECT *, len(list_filter(range(0, 9), lambda i: i = 0 OR z >= (1::BIGINT << (7 * i)::INTEGER))) AS n FROM z)
+SELECT event_id, upper(array_to_string(list_transform(range(0, n), lambda i: printf('%02x', ((z >> (7 * i)) & 127) + CASE WHEN i < n - 1 THEN 128 ELSE 0 END)), '')) AS code, z AS back, z AS opened FROM n""")
+def varint_codes(spark, sf_dir):
+    """Numbers as bytes of variable length, read back plainly and out of a sealed block."""
+    rows = table(spark, sf_dir, "events").select("event_id", X.varint(X.zigzag(F.col("event_id") * 37 - F.col("user_id") * 11111)).alias("code"))
+    rows = rows.withColumn("sealed", X.sealed("code", b"PLMP")).withColumn("body", X.opened("sealed", b"PLMP"))
+    return rows.select("event_id", F.hex("code").alias("code"), X.unvarint("code").alias("back"), X.unvarint("body").alias("opened"))
+
+
 # ---- the fold ---------------------------------------------------------------------------------------------------------------
 
 
@@ -255,6 +266,12 @@ def lifetime_tokens(spark, sf_dir):
     return rows.select("page_id", F.col("token_id").cast("long").alias("token_id"), "value", "origin_rev_id", "last_rev_id", joined("inbound").alias("inbound"), joined("outbound").alias("outbound"))
 
 
+@query(CLOSED + """SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY min(token_id)) - 1 AS string_id, value, count(*) AS n_tokens FROM c_k GROUP BY page_id, value""")
+def page_strings(spark, sf_dir):
+    """The distinct texts of each page's tokens, numbered in order of first appearance."""
+    return views.strings(growing_tables(spark, sf_dir)).select("page_id", F.col("string_id").cast("long").alias("string_id"), "value", "n_tokens")
+
+
 @query(CLOSED + """SELECT page_id, token_id AS pos, value AS str, origin AS origin_rev_id FROM c_k""")
 def latest_token_origins(spark, sf_dir):
     """The tokens of each page's latest revision in document order, with the revision that wrote them."""

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from palimpsest.operators import annotate
 from palimpsest.operators.attribute import Tables, attribute, normalized
 from palimpsest.plans import views
-from palimpsest.sources.store import Store
+from palimpsest.sources.store import VERSION, Store
 
 # Revisions of a replayed window, if not told, and at most.
 WINDOW, LONGEST_WINDOW = 500, 2000
@@ -48,6 +48,10 @@ class Service:
         self.store, self.history = store, history
         self.users = store.spark.createDataFrame([], "user_id long, user_name string") if users is None else users
 
+    def health(self) -> Answer:
+        """That the service is up, which of its layouts it reads and where; nothing is read."""
+        return Answer(200, {"status": "ok", "version": VERSION, "storage_root": self.store.root})
+
     def page_of_title(self, lang: str, title: str) -> int | None:
         return self.store.page_of_title(lang, title)
 

@@ -181,3 +181,10 @@ def colour_envelope(tables: Tables, coloured: DataFrame, annotations: DataFrame,
         F.lit('{"extended_html":'), _text(html), F.lit(',"present_editors":['), "present", F.lit('],"tokens":['), "tokens", F.lit('],"revisions":{'), "chain",
         F.lit('},"biggest_conflict_score":'), F.col("most").cast("string"), F.lit(',"success":true,"rev_id":'), F.col("rev_id").cast("string"), F.lit(',"page_title":'), _text(F.coalesce("title", F.lit(""))), F.lit("}"),
     ).alias("content"))
+
+
+def strings(tables: Tables) -> DataFrame:
+    """(lang, page_id, string_id, value, n_tokens): the distinct texts of a page's tokens, numbered from 0 by their first token."""
+    found = tables.tokens.groupBy("lang", "page_id", "value").agg(F.min("token_id").alias("first"), F.count("*").alias("n_tokens"))
+    place = F.row_number().over(W.partitionBy("lang", "page_id").orderBy("first")) - 1
+    return found.select("lang", "page_id", place.alias("string_id"), "value", "n_tokens")

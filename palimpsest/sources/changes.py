@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 import time
 import urllib.request
 from collections.abc import Iterator
@@ -57,6 +56,19 @@ def page_edits(raw: DataFrame, column: str = "value", languages: list[str] | Non
     )
 
 
+VISIBILITY = "meta struct<domain: string>, page_namespace long, page_id long, rev_id long, visibility struct<text: boolean, user: boolean, comment: boolean>"
+
+
+def visibility_changes(raw: DataFrame, column: str = "value") -> DataFrame:
+    """(language, page_id, rev_id, text_visible, user_visible, comment_visible) of main-namespace revisions that were hidden or
+    shown; `raw` may be a stream. What isn't said to be hidden is visible; what doesn't parse is left out."""
+    rows = raw.withColumn("c", F.from_json(column, VISIBILITY))
+    language = F.coalesce(F.split("c.meta.domain", r"\.")[0], F.lit(""))
+    keep = (F.col("c.page_namespace") == 0) & F.col("c.rev_id").isNotNull() & (F.coalesce("c.page_id", F.lit(0)) != 0) & (language != "")
+    seen = lambda what: F.coalesce(f"c.visibility.{what}", F.lit(True)).alias(f"{what}_visible")
+    return rows.filter(keep).select(language.alias("language"), F.col("c.page_id").alias("page_id"), F.col("c.rev_id").alias("rev_id"), seen("text"), seen("user"), seen("comment"))
+
+
 def wikis(languages: DataFrame) -> DataFrame:
     return languages.select("lang", wiki_name("lang").alias("wiki"))
 
@@ -119,8 +131,3 @@ class _ChangeReader(SimpleDataSourceStreamReader):
             if own == end["id"]:
                 break
         return iter(rows)
-
-
-def offset_of(event_id: str) -> dict:
-    """An event id as an offset; ids are the server's JSON."""
-    return {"id": event_id, "parts": json.loads(event_id) if event_id.startswith("[") else None}

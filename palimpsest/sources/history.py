@@ -7,13 +7,17 @@ import time
 import urllib.error
 import urllib.parse
 import urllib.request
+import uuid
 from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from palimpsest.operators.attribute import HISTORY
+from palimpsest.session import materialize
 
 #: One line of a history file.
 LINE = "rev_id long, parent_id long, timestamp string, sha1 string, comment string, minor boolean, user_id long, user_name string, text string, text_hidden boolean"
@@ -29,17 +33,10 @@ def read_histories(spark: SparkSession, root: str, filters: list[str] | None = N
     folder = lambda c: F.regexp_replace(c, "/[^/]*$", "")
     rows = lines.withColumn("ord", F.monotonically_increasing_id()).withColumn("folder", folder("path")).drop("path")
     heads = meta.select("lang", "title", "page_id", folder("path").alias("folder"))
-    from pyspark.sql import Window as W
-
     rows = rows.join(heads, "folder").withColumn("ord", (F.row_number().over(W.partitionBy("folder").orderBy("ord")) - 1).cast("int"))
     return rows.select(*HISTORY)
 
 
-def write_histories(history: DataFrame, path: str) -> None:
-    """Capture sink: JSON lines by language and page; rows beyond the fold's need are kept."""
-    history.write.mode("overwrite").partitionBy("lang", "page_id").json(path)
-
-
 def parse_revision(record: Column | str) -> Column:
     """A struct of LINE's fields from one source API revision (JSON text).
 
@@ -110,7 +107,8 @@ def request(send: Callable[[dict], tuple[int, dict, str]], params: dict, sleep:
 
 def http_sender(endpoint: str, agent: str) -> Callable[[dict], tuple[int, dict, str]]:
     def send(params: dict) -> tuple[int, dict, str]:
-        ask = urllib.request.Request(f"{endpoint}?{urllib.parse.urlencode(params)}", headers={"User-Agent": agent})
+        asked, long = urllib.parse.urlencode(params), "text" in params  # a whole text is too long for an address
+        ask = urllib.request.Request(endpoint if long else f"{endpoint}?{asked}", asked.encode() if long else None, {"User-Agent": agent})
         try:
             with urllib.request.urlopen(ask, timeout=60) as answer:
                 return answer.status, dict(answer.headers), answer.read().decode()
@@ -120,6 +118,30 @@ def http_sender(endpoint: str, agent: str) -> Callable[[dict], tuple[int, dict,
     return send
 
 
+# Error codes of what the source doesn't have.
+NOT_THERE = ("missingtitle", "nosuchrevid", "invalidpageid", "nosuchpageid")
+
+
+def _rendered(send, params: dict, sleep) -> str:
+    answer = request(send, {"action": "parse", "prop": "text", "format": "json", "formatversion": 2} | params, sleep)
+    if error := answer.get("error"):
+        raise (LookupError if error.get("code") in NOT_THERE else OSError)(f"{error.get('code')}: {error.get('info', '')}")
+    text = answer.get("parse", {}).get("text")
+    if not isinstance(text, str):
+        raise OSError("the answer holds no text")
+    return text
+
+
+def render_text(send, title: str, text: str, sleep=time.sleep) -> str:
+    """HTML of markup under a title, by the remote source; with `send` bound it is what `Service.colours` takes as `render`."""
+    return _rendered(send, {"title": title, "text": text, "contentmodel": "wikitext"}, sleep)
+
+
+def render_revision(send, rev_id: int, sleep=time.sleep) -> str:
+    """HTML of a stored revision, by the remote source."""
+    return _rendered(send, {"oldid": rev_id}, sleep)
+
+
 def fetch_revisions(send, page_id: int, end_rev_id: int | None = None, start: str | None = None, sleep=time.sleep) -> Iterator[list[dict]]:
     """Batches of a page's revisions, oldest first, up to and with `end_rev_id`; `start` is a continuation to go on from.
     Without the end in it, a finished history is an error."""
@@ -142,6 +164,72 @@ def fetch_revisions(send, page_id: int, end_rev_id: int | None = None, start: st
             return
 
 
+CAPTURED, SKIPPED, ABORTED, FAILED = "captured", "skipped", "aborted", "failed"
+_FETCHED = pa.schema([("lang", pa.string()), ("page_id", pa.int64()), ("title", pa.string()), ("up_to", pa.int64()), ("ord", pa.int32()), ("record", pa.string()), ("outcome", pa.string()), ("detail", pa.string())])
+_CAPTURE = "lang string, page_id long, title string, up_to long, outcome string, n_revisions long, detail string"
+
+
+def captures(spark: SparkSession, root: str) -> DataFrame:
+    """(lang, page_id, title, up_to, n_revisions, run) of the last capture of each page under `root`."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/captures")
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        return spark.createDataFrame([], "lang string, page_id long, title string, up_to long, n_revisions long, run string")
+    rows = spark.read.schema(f"{_CAPTURE}, run string").json(f"{root}/captures").filter(F.col("outcome") == CAPTURED)
+    last = F.row_number().over(W.partitionBy("lang", "page_id").orderBy(F.desc("run")))
+    return rows.withColumn("last", last).filter("last = 1").select("lang", "page_id", "title", "up_to", "n_revisions", "run")
+
+
+def capture(targets: DataFrame, root: str, sender: Callable[[str], Callable], most: int | None = None, refresh: bool = False, tasks: int = 8, sleep=time.sleep) -> DataFrame:
+    """Fetch the histories of (lang, page_id, title, rev_id), each up to its revision, and add them under `root` as JSON lines;
+    (lang, page_id, title, up_to, outcome, n_revisions, detail) for each page. `sender` gives a language's source.
+
+    Pages whose last capture ends at the revision are skipped, unless told to refresh. A page of over `most` revisions is
+    aborted, and of it, or of one that fails, nothing is kept. The list of captures is written last: a run that is lost before leaves
+    lines that no reader takes, and running again does what is missing. `tasks` bounds how many ask at once.
+    """
+    spark = targets.sparkSession
+    asked = targets.select("lang", "page_id", "title", F.col("rev_id").alias("up_to")).groupBy("lang", "page_id").agg(F.max_by("title", "up_to").alias("title"), F.max("up_to").alias("up_to"))
+    done = captures(spark, root).select("lang", "page_id", "up_to")
+    todo = asked if refresh else asked.join(done, ["lang", "page_id", "up_to"], "left_anti")
+
+    def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows_of = lambda rows: pa.RecordBatch.from_pylist([dict(zip(_FETCHED.names, r)) for r in rows], _FETCHED)
+        for page in (p for b in batches for p in b.to_pylist()):
+            head = (page["lang"], page["page_id"], page["title"], page["up_to"])
+            n, outcome, detail = 0, CAPTURED, None
+            try:
+                for part in fetch_revisions(sender(page["lang"]), page["page_id"], page["up_to"], sleep=sleep):
+                    yield rows_of([(*head, n + k, json.dumps(r), None, None) for k, r in enumerate(part)])
+                    n += len(part)
+                    if most and n >= most and part[-1].get("revid") != page["up_to"]:
+                        outcome, detail = ABORTED, f"{n} revisions and not at {page['up_to']}"
+                        break
+            except (OSError, LookupError, ValueError) as e:
+                outcome, detail = FAILED, str(e)
+            yield rows_of([(*head, n, None, outcome, detail)])
+
+    schema = "lang string, page_id long, title string, up_to long, ord int, record string, outcome string, detail string"
+    got = materialize(todo.repartition(tasks, "lang", "page_id").mapInArrow(fetch, schema), "capture")  # the source is asked once
+    status = got.filter("outcome is not null").select("lang", "page_id", "title", "up_to", "outcome", F.col("ord").cast("long").alias("n_revisions"), "detail")
+    run = f"{time.time_ns():020d}-{uuid.uuid4().hex}"
+    whole = status.filter(F.col("outcome") == CAPTURED).select("lang", "page_id")
+    lines = got.filter("outcome is null").join(whole, ["lang", "page_id"], "left_semi").select("lang", "page_id", "ord", parse_revision("record").alias("r"))
+    lines.select("lang", "page_id", "ord", "r.*").write.partitionBy("lang").json(f"{root}/revisions/run={run}")
+    status.write.json(f"{root}/captures/run={run}")
+    skipped = asked.join(done, ["lang", "page_id", "up_to"], "left_semi").join(todo, ["lang", "page_id"], "left_anti")
+    skipped = skipped.select("lang", "page_id", "title", "up_to", F.lit(SKIPPED).alias("outcome"), F.lit(0).cast("long").alias("n_revisions"), F.lit(None).cast("string").alias("detail"))
+    return materialize(status.unionByName(skipped), "capture-status")
+
+
+def read_captured(spark: SparkSession, root: str) -> DataFrame:
+    """History rows of the last capture of each page under `root`."""
+    heads = captures(spark, root).select("lang", "page_id", "title", "run")
+    if not heads.head(1):
+        return spark.createDataFrame([], ", ".join(f"{k} {v}" for k, v in HISTORY.items()))
+    lines = spark.read.schema(f"page_id long, ord int, {LINE}, run string, lang string").json(f"{root}/revisions")
+    return lines.join(heads, ["lang", "page_id", "run"]).select(*HISTORY)
+
+
 class PageHistory(DataSource):
     """spark.read.format("page_history").option("endpoint", ...).option("pages", "1,2,3"): a partition for each page, raw records."""
 
@@ -174,15 +262,15 @@ class _PageReader(DataSourceReader):
 
 
 def lookup_pages(meta: DataFrame, asked: DataFrame, by: str, index: DataFrame | None = None) -> DataFrame:
-    """(asked.*, page_id, title, last_processed_revid) for asked titles ("title"), page ids ("page_id") or revisions ("rev_id")."""
+    """(asked.*, page_id, title as the page has it, last_processed_revid) for asked titles ("title"), page ids ("page_id") or revisions ("rev_id")."""
     info = meta.select("lang", "page_id", "title", "last_processed_revid")
     if by == "rev_id":
         return asked.join(index.select("lang", "rev_id", "page_id"), ["lang", "rev_id"]).join(info, ["lang", "page_id"])
     if by == "title":
         from palimpsest.functions.text import title_key
 
-        keyed = info.withColumn("key", title_key("title")).drop("title")
-        return asked.withColumn("key", title_key("title")).join(keyed, ["lang", "key"]).drop("key")
+        keyed = info.withColumn("key", title_key("title"))
+        return asked.withColumn("key", title_key("title")).drop("title").join(keyed, ["lang", "key"]).drop("key")
     return asked.join(info, ["lang", "page_id"])
 
 

@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from palimpsest.operators.attribute import resume
+from palimpsest.operators.attribute import attribute, resume
 from palimpsest.session import materialize
 from palimpsest.sources.store import Store
 
@@ -58,3 +59,15 @@ def follow(edits: DataFrame, store: Store, history: Callable[[], DataFrame], che
     return edits.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
+
+
+def refold(store: Store, changed: DataFrame, history: DataFrame) -> DataFrame:
+    """Attribute anew the stored pages of revisions that were hidden or shown, from `history` as it is now, up to the revision that
+    they were stored with; (lang, page_id). Resuming can't do this: a hidden revision's tokens go to those after it."""
+    pages = changed.select(F.col("language").alias("lang"), "page_id").distinct().join(store.meta.select("lang", "page_id", "last_processed_revid"), ["lang", "page_id"])
+    pages = materialize(pages, "refold-pages")
+    if pages.head(1):
+        rows = history.join(pages, ["lang", "page_id"])
+        end = F.max(F.when(F.col("rev_id") == F.col("last_processed_revid"), F.col("ord"))).over(W.partitionBy("lang", "page_id"))
+        store.write(attribute(rows.withColumn("end", end).filter("ord <= coalesce(end, ord)").drop("end", "last_processed_revid")))
+    return pages.select("lang", "page_id")
