@@ -31,15 +31,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.llm.common import body, frugal
-from palimpsest.llm.components import components
+from palimpsest.llm.components import HOT_LEAST, HOT_SHARE, components, with_value
 from palimpsest.session import materialize, table
 
 #: Bands; the most nodes of a bucket that one task takes; bytes hashed and elements ranked together, single texts apart.
 BANDS, BLOCK, CHUNK, TOGETHER = 48, 4096, 1 << 18, 20_000
 #: Rows of a batch that are worked on, and handed out, together.
 ROWS = 1024
-#: Groups of equal sets above total / HOT_SHARE rows are joined by broadcast: at most HOT_SHARE of them.
-HOT_SHARE, HOT_LEAST = 1000, 1000
 ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 
 
@@ -294,9 +292,10 @@ def _grouped(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shin
     full = cand.join(sets, "node").select("bucket", "a", "b", "node", "hashes").repartition("bucket", "a", "b").sortWithinPartitions("bucket", "a", "b", "node")
     edges = full.mapInArrow(partial(_links, num=num, den=den), "u binary, v binary")
 
-    names = components(edges).join(nodes.select("node", "low"), "node").select("root", "node", "low")
-    named = names.groupBy("root").agg(F.min("low").alias("component_id")).join(names, "root").select("node", "component_id")
     total = signed.count()
+    names = materialize(components(edges).join(nodes.select("node", "low"), "node").select("root", "node", "low"), "near-names")
+    lows = names.groupBy(F.col("root").alias("key")).agg(F.min("low").alias("value"), F.count("*").alias("n"))
+    named = with_value(names, "root", lows, total).select("node", F.col("value").alias("component_id"))
     hot = max(HOT_LEAST, total // HOT_SHARE)
     of = materialize(nodes.select("node", "low", "n").join(named.withColumnRenamed("node", "m"), F.col("node") == F.col("m"), "left").select("node", "n", F.coalesce("component_id", "low").alias("component_id")).filter(F.col("n").isNotNull()), "near-components")
     plain = signed.select("id", "print", "n_shingles", "node")
