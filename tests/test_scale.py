@@ -46,3 +46,30 @@ def test_alike_values_are_found_a_block_at_a_time(monkeypatch):
     found = differ.alike(words, [w.upper().lower() + "x" for w in words])
     assert all(differ.likeness(x, y + "") <= b + 1e-12 for y, xs in found.items() for x, b in xs)
     assert {(x, y) for y, xs in found.items() for x, _ in xs} >= {(x, w + "x") for w in words for x in words if differ.likeness(x, w + "x") > differ.LOOK}
+
+
+def test_transcripts_and_markup_leave_in_parts(monkeypatch):
+    from palimpsest.operators import annotate, transcripts
+
+    monkeypatch.setattr(transcripts, "MOST_ENTRIES", 10)
+    a = pa.array([["a", "b", "c", "d"], None, [], ["x", "y"]] * 5)
+    b = pa.array([["a", "c", "d", "e"], ["n"], [], ["x", "z"]] * 5)
+    out = list(transcripts.transcripts(iter([(a, b)])))
+    got = [[(e["op"], e["value"]) for e in r] for x in out for r in x.to_pylist()]
+    assert len(out) > 3 and max(len(x.flatten()) for x in out) < 20 and got == [differ.compare(x or [], y or []) for x, y in zip(a.to_pylist(), b.to_pylist())]
+    monkeypatch.setattr(annotate, "MOST_LETTERS", 200)
+    texts = pa.array(["alpha [[beta]] gamma", None, "", "delta"] * 5)
+    tokens = [[{"str": w, "editor": str(len(w)), "class_name": "k"} for w in (t or "").replace("[", "").replace("]", "").split()] for t in texts.to_pylist()]
+    tokens[1] = None
+    kind = pa.list_(pa.struct([("str", pa.string()), ("editor", pa.string()), ("class_name", pa.string())]))
+    parts = list(annotate.annotations(iter([(texts, pa.array(tokens, kind))])))
+    want = [annotate.annotate(t or "", [tuple(x.values()) for x in ts or []]) for t, ts in zip(texts.to_pylist(), tokens)]
+    assert len(parts) > 3 and [(r["text"], [tuple(e.values()) for e in r["editors"]]) for p in parts for r in p.to_pylist()] == want
+
+
+def test_what_a_row_tells_alone_is_not_dealt_out(spark):
+    from palimpsest.plans import queries
+
+    for name in ("edit_diffs", "token_density"):
+        plan = queries.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert "Aggregate" not in plan, name
