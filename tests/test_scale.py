@@ -73,3 +73,11 @@ def test_what_a_row_tells_alone_is_not_dealt_out(spark):
     for name in ("edit_diffs", "token_density"):
         plan = queries.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
         assert "Aggregate" not in plan, name
+
+
+def test_contents_of_pages_join_nothing(spark):
+    """One row a page by one shuffle of its state: a join's side that looked small was broadcast through the driver."""
+    from palimpsest.plans import queries
+
+    df = queries.page_contents(spark, "/root/testdata/sf0.001")
+    assert "Join" not in df._jdf.queryExecution().optimizedPlan().toString() and df.count() > 0
