@@ -3,6 +3,7 @@
 import random
 import re
 import struct
+import sys
 import time
 import zlib
 from collections import Counter, defaultdict
@@ -65,6 +66,37 @@ def test_bpe_of_long_words():
     assert all(len(w) <= bpe.LONG for w in own.words)
 
 
+def test_bpe_pairs_and_walk_by_definition():
+    """Pairs as the ranks tell them, words of shared prefixes, null bytes and every width."""
+    b = bpe.TrieBpe(bpe.vocabulary("byte_bpe_50k.json"))
+    random.seed(17)
+    tokens = random.sample(sorted(b.ids.values()), 400)
+    before, after = ([random.choice([-1, *tokens]) for _ in range(4000)], random.choices(tokens, k=4000))
+    pairs = np.array(before, np.int32), np.array(after, np.int32)
+    assert b.fitting(*pairs).tolist() == b.fitting(*pairs).tolist() == [b.follows(x, y) for x, y in zip(before, after)]
+    words = {w[:n] for w in (bytes(random.choices(b"aetionr s\x00\xc3\xa9", k=60)) for _ in range(60)) for n in (1, 2, 3, 9, 40, 41, 60)}
+    assert {w: list(ids) for w, ids in b.encode_words(words).items()} == {w: [b.ids[t] for t in b.merged(w)] for w in words}
+
+
+def test_bpe_takes_no_python_step_a_byte():
+    """New words are walked as arrays: some calls a level, whatever the number of words."""
+    b = bpe.TrieBpe(bpe.vocabulary("byte_bpe_50k.json"))
+    random.seed(18)
+    text = " ".join("".join(random.choices("etaoinshrdlu", k=9)) for _ in range(20_000))
+    calls = 0
+
+    def count(*_):
+        nonlocal calls
+        calls += 1
+
+    sys.setprofile(count)
+    try:
+        ids = list(next(b.encode([text])))
+    finally:
+        sys.setprofile(None)
+    assert b.decode(ids) == text and calls < 2 * len(text)
+
+
 def test_token_files(spark, tmp_path):
     from tokenizers import Tokenizer
 
