@@ -43,6 +43,12 @@ PIECE = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
 LETTER, DIGIT, BLANK = "A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼½¾", "\t\n\x0b\x0c\r \x85\xa0"
 LATIN_WORD = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTER}]+| ?[{DIGIT}]+| ?[^{LETTER}{DIGIT}{BLANK}]+|[{BLANK}]+(?![^{BLANK}])|[{BLANK}]+")
 BEYOND = re.compile("[^\x00-\xff]")
+
+
+def latin1(text: str) -> bool:
+    return text.isascii() or BEYOND.search(text) is None
+
+
 #: Words that a worker learns before it forgets those it hasn't met since as many ago; token pairs of long words before it starts anew.
 MOST_WORDS, MOST_PAIRS = 150_000, 300_000
 #: Places of the table of token pairs, as a power of 2: a pair takes that of the one that was there.
@@ -302,7 +308,7 @@ class TrieBpe:
 
     def cut(self, text: str) -> list[str]:
         """The words of a text without added tokens."""
-        if BEYOND.search(text) is None:
+        if latin1(text):
             return LATIN_WORD.findall(text)
         if self.words_of is None:
             from tokenizers import Tokenizer

@@ -30,14 +30,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm.bpe import BEYOND, BLANK, DIGIT, LETTER, Recent, slices, vocabulary
+from palimpsest.llm.bpe import BLANK, DIGIT, LETTER, Recent, latin1, slices, vocabulary
 from palimpsest.llm.common import body
 from palimpsest.session import scratch, table
 
 END_ID = 1
 HEAD, CHECK, OWN, ENTRY = struct.Struct("<QI"), struct.Struct("<I"), struct.Struct("<Bq"), struct.Struct("<QQ")
-#: The vocabulary's word rule over Latin-1, whose letters, digits and white space never change.
-LATIN_WORD = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTER}]+|[{DIGIT}]|[^{LETTER}{DIGIT}{BLANK}]+")
+#: The vocabulary's word rule over Latin-1, whose letters, digits and white space never change; what is frequent comes first where the order is free.
+LATIN_WORD = re.compile(f"[{LETTER}]+|[{DIGIT}]|'(?:[stmd]|re|ve|ll)|[^{LETTER}{DIGIT}{BLANK}]+")
 CHUNK = re.compile("[^ \n]+")
 #: Words that a worker learns before it forgets those it hasn't met since as many ago.
 MOST_WORDS = 250_000
@@ -55,10 +55,11 @@ class WordEncoder:
         self.whole = Tokenizer.from_file(path)
         self.whole.no_truncation()
         self.whole.no_padding()
-        self.ends = {i for token, i in self.whole.get_vocab(False).items() if token.endswith("</w>")}
+        self.ends = np.zeros(max(self.whole.get_vocab(True).values()) + 1, bool)  # by id: whether the token ends a word
+        self.ends[[i for token, i in self.whole.get_vocab(False).items() if token.endswith("</w>")]] = True
         self.added = [t.content for t in self.whole.get_added_tokens_decoder().values()]
         self.known = Recent(MOST_WORDS)
-        self.width = 2 if max(self.whole.get_vocab(True).values()) < 1 << 16 else 4
+        self.width = 2 if len(self.ends) <= 1 << 16 else 4
 
     def packed(self, ids: list[int]) -> bytes:
         return struct.pack(f"<{len(ids)}{'H' if self.width == 2 else 'I'}", *ids)
@@ -68,21 +69,29 @@ class WordEncoder:
 
     def learn(self, words: list[str]) -> None:
         """Encode new words in one go: each ends with the only one of its tokens that carries the end-of-word mark."""
-        out, at = self.ids(" ".join(words)), 0
-        cut = [i + 1 for i, x in enumerate(out) if x in self.ends]
-        if len(cut) != len(words):
+        out = np.array(self.whole.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, f"<u{self.width}")
+        to = ((np.flatnonzero(self.ends[out]) + 1) * self.width).tolist()
+        if len(to) != len(words):
             self.known.update((w, self.packed(self.ids(w))) for w in words)
             return
-        for word, to in zip(words, cut):
-            self.known[word], at = self.packed(out[at:to]), to
+        self.known.update(zip(words, map(out.tobytes().__getitem__, map(slice, [0, *to], to))))
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """Ids of each text as little-endian unsigned integers of `width` bytes."""
-        cut = [None if any(a in t for a in self.added) else LATIN_WORD.findall(t.lower()) if BEYOND.search(t) is None else CHUNK.findall(t) for t in texts]
-        new = self.known.unknown({w for ws in cut if ws for w in ws})
-        latin = sorted(w for w in new if BEYOND.search(w) is None and LATIN_WORD.fullmatch(w) and w == w.lower())
+        cut, plain = [], []
+        for t in texts:
+            if any(a in t for a in self.added):
+                cut.append(None)
+            elif latin1(t):
+                cut.append(LATIN_WORD.findall(t.lower()))
+                plain.append(cut[-1])
+            else:
+                cut.append(CHUNK.findall(t))
+        new = self.known.unknown(set().union(*filter(None, cut)))
+        latin = new if len(plain) == len(texts) else new.intersection(set().union(*plain))
+        latin = latin.union(w for w in new.difference(latin) if latin1(w) and LATIN_WORD.fullmatch(w) and w == w.lower())
         if latin:
-            self.learn(latin)
+            self.learn(sorted(latin))
         for w in new.difference(latin):
             self.known[w] = self.packed(self.ids(w))
         for t, ws in zip(texts, cut):

@@ -118,6 +118,37 @@ def test_token_files(spark, tmp_path):
     assert one == list(token_files.read_slice(files, f"{tmp_path}/f/{shard:05d}", 0, n))[-1:]
 
 
+def test_token_file_words_are_those_of_the_library():
+    """Contractions, marks, Latin-1, words of texts beyond it and added tokens, in one batch and again in batches of one."""
+    own = token_files.WordEncoder(bpe.vocabulary("word_bpe_49k.json"))
+    random.seed(19)
+    parts = ["'s", "'T", "'re", "'LL", "'x", "''", "don't", "it's'd", "Éa", "µ", "12", "½", "!'m?", " ", "\xa0", "\x85", "a_b", "ß", "keit"]
+    texts = ["".join(random.choices(parts, k=30)) for _ in range(40)] + ["".join(random.choices([*parts, "中", "é", "<|endoftext|>"], k=30)) for _ in range(40)] + [""]
+    want = [own.packed(own.ids(t)) for t in texts]
+    assert list(own.encode(texts)) == want == [next(own.encode([t])) for t in texts]
+    fresh = token_files.WordEncoder(bpe.vocabulary("word_bpe_49k.json"))
+    assert [next(fresh.encode([t])) for t in reversed(texts)] == want[::-1] and list(fresh.encode([])) == []
+
+
+def test_token_file_words_take_no_python_step_each():
+    """New words are learned by a few calls for all of them."""
+    own = token_files.WordEncoder(bpe.vocabulary("word_bpe_49k.json"))
+    random.seed(20)
+    words = {"".join(random.choices("etaoinshrdlu", k=9)) for _ in range(20_000)}
+    calls = 0
+
+    def count(*_):
+        nonlocal calls
+        calls += 1
+
+    sys.setprofile(count)
+    try:
+        ids = next(own.encode([" ".join(words)]))
+    finally:
+        sys.setprofile(None)
+    assert ids == own.packed(own.ids(" ".join(words))) and calls < len(words)
+
+
 def test_broken_records_are_found():
     framed = token_files.record(b"payload")
     assert token_files.parse(framed) == (b"payload", len(framed))
