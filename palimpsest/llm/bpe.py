@@ -374,12 +374,12 @@ def loaded(path: str) -> TrieBpe:
     return _loaded[path]
 
 
-def slices(texts: pa.Array) -> Iterator[tuple[int, list[str]]]:
-    """(place, texts with null as empty) in parts within BATCH_ROWS and, but for a single longer text, BATCH_CHARS bytes."""
+def slices(texts: pa.Array, rows: int = BATCH_ROWS, chars: int = BATCH_CHARS) -> Iterator[tuple[int, list[str]]]:
+    """(place, texts with null as empty) in parts within so many rows and, but for a single longer text, so many bytes."""
     at = size = 0
     lengths = pc.binary_length(texts).fill_null(0).to_pylist()
     for i, n in enumerate(lengths):
-        if i > at and (size + n > BATCH_CHARS or i - at >= BATCH_ROWS):
+        if i > at and (size + n > chars or i - at >= rows):
             yield at, [t or "" for t in texts.slice(at, i - at).to_pylist()]
             at, size = i, 0
         size += n

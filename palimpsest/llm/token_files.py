@@ -21,11 +21,12 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
-from functools import partial
+from functools import cached_property, partial
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,30 +37,82 @@ from palimpsest.session import scratch, table
 
 END_ID = 1
 HEAD, CHECK, OWN, ENTRY = struct.Struct("<QI"), struct.Struct("<I"), struct.Struct("<Bq"), struct.Struct("<QQ")
-#: The vocabulary's word rule over Latin-1, whose letters, digits and white space never change; what is frequent comes first where the order is free.
+#: The vocabulary's word rule over lower-case Latin-1, whose letters, digits and white space never change, and by the byte: its lower case, and what it is.
 LATIN_WORD = re.compile(f"[{LETTER}]+|[{DIGIT}]|'(?:[stmd]|re|ve|ll)|[^{LETTER}{DIGIT}{BLANK}]+")
+LATIN = "".join(map(chr, range(256)))
+LOWER, BLANKS, IS_BLANK, IS_LETTER, IS_DIGIT = LATIN.lower().encode("latin-1"), BLANK.encode("latin-1"), 0, 1, 2
+KIND = bytes(next((k for k, of in ((IS_BLANK, BLANK), (IS_LETTER, LETTER), (IS_DIGIT, DIGIT)) if re.match(f"[{of}]", c)), 3) for c in LATIN)
 CHUNK = re.compile("[^ \n]+")
-#: Words that a worker learns before it forgets those it hasn't met since as many ago.
-MOST_WORDS = 250_000
+#: Words and chunks that a worker learns before it forgets what it hasn't met for the longest, down to half. Bytes beyond which a word isn't kept.
+MOST_WORDS, LONG = 400_000, 100
+MOST_CHUNKS = 250_000
+#: New words that the library encodes at once: it holds some hundred bytes for each of their tokens.
+LEARN_WORDS = 20_000
+#: Rows and, but for a single longer text, text bytes that are encoded at once: the words known by then are listed anew each time.
+ENCODE_ROWS, ENCODE_CHARS = 5_000, 4_000_000
 #: Records and bytes that a reader holds at once, a single longer record apart.
 READ_RECORDS, READ_BYTES = 4096, 16 << 20
 
 
+def binary(ends: np.ndarray, data: bytes) -> pa.Array:
+    """Values that stand one after another in `data`, from the places where each begins and the last ends."""
+    return pa.Array.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(ends), pa.py_buffer(data)])
+
+
+def latin_words(texts: list[str]) -> tuple[pa.Array, np.ndarray]:
+    """(the words of Latin-1 texts one after another, how many there are up to the end of each text)."""
+    raw = "\n".join([*texts, "\n\n"]).encode("latin-1")  # a contraction is looked for in the three bytes from a mark on
+    low, kind = (np.frombuffer(raw.translate(to), np.uint8) for to in (LOWER, KIND))
+    starts, within = kind == IS_DIGIT, kind != IS_BLANK
+    starts[1:] |= kind[1:] != kind[:-1]
+    starts[0] = True
+    starts &= within
+    marks = np.flatnonzero(low == ord("'"))
+    marks = marks[starts[marks]]
+    after = low[marks + 1].astype(np.int64)
+    pair = after << 8 | low[marks + 2]
+    for at, size in ((marks[np.isin(after, list(b"stmd"))], 2), (marks[np.isin(pair, [int.from_bytes(x) for x in (b"re", b"ve", b"ll")])], 3)):
+        starts[at + 1] = False
+        starts[at + size] |= kind[at + size] == IS_LETTER
+    upto = np.searchsorted(np.flatnonzero(starts), np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1))
+    data = raw.translate(LOWER, BLANKS)
+    return binary(np.append(np.flatnonzero(starts[within]), len(data)), data), upto
+
+
 class WordEncoder:
-    """The tokenizers library over distinct words: words encode alone as they do in a text, white space gives nothing."""
+    """The tokenizers library over distinct words: words encode alone as they do in a text, white space gives nothing.
+
+    Words of Latin-1 texts stay in Arrow arrays: one call lists those of a batch after the known ones, so that new words are the
+    end of the list, and another takes the ids of each word by its place in it. Other texts are cut into chunks.
+    """
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel, Sequence, Split
 
-        self.whole = Tokenizer.from_file(path)
-        self.whole.no_truncation()
-        self.whole.no_padding()
-        self.ends = np.zeros(max(self.whole.get_vocab(True).values()) + 1, bool)  # by id: whether the token ends a word
-        self.ends[[i for token, i in self.whole.get_vocab(False).items() if token.endswith("</w>")]] = True
-        self.added = [t.content for t in self.whole.get_added_tokens_decoder().values()]
-        self.known = Recent(MOST_WORDS)
+        self.path = path
+        self.of_words = self.loaded()  # for lower-case words with a space between them
+        self.ends = np.zeros(max(self.of_words.get_vocab(True).values()) + 1, bool)  # by id: whether the token ends a word
+        self.ends[[i for token, i in self.of_words.get_vocab(False).items() if token.endswith("</w>")]] = True
+        self.added = [t.content for t in self.of_words.get_added_tokens_decoder().values()]
         self.width = 2 if len(self.ends) <= 1 << 16 else 4
+        self.of_words.normalizer = None
+        self.of_words.pre_tokenizer = Sequence([Split(" ", "removed"), ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.words, self.coded, self.met = pa.array([], pa.large_binary()), pa.array([], pa.large_binary()), np.zeros(0, np.int64)  # known words, their ids, the batch that last had each
+        self.batches, self.chunks = 0, Recent(MOST_CHUNKS)
+
+    def loaded(self):
+        from tokenizers import Tokenizer
+
+        out = Tokenizer.from_file(self.path)
+        out.no_truncation()
+        out.no_padding()
+        return out
+
+    @cached_property
+    def whole(self):
+        """The library as it is, for what isn't cut into words."""
+        return self.loaded()
 
     def packed(self, ids: list[int]) -> bytes:
         return struct.pack(f"<{len(ids)}{'H' if self.width == 2 else 'I'}", *ids)
@@ -67,35 +120,68 @@ class WordEncoder:
     def ids(self, text: str) -> list[int]:
         return self.whole.encode(text, add_special_tokens=False).ids
 
-    def learn(self, words: list[str]) -> None:
-        """Encode new words in one go: each ends with the only one of its tokens that carries the end-of-word mark."""
-        out = np.array(self.whole.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, f"<u{self.width}")
-        to = ((np.flatnonzero(self.ends[out]) + 1) * self.width).tolist()
-        if len(to) != len(words):
-            self.known.update((w, self.packed(self.ids(w))) for w in words)
+    def learned(self, words: pa.Array) -> pa.Array:
+        """Ids of new words."""
+        return pa.concat_arrays([self.learned_at_once(words.slice(a, LEARN_WORDS)) for a in range(0, len(words), LEARN_WORDS)])
+
+    def learned_at_once(self, words: pa.Array) -> pa.Array:
+        """Encode words in one go: each ends with the only one of its tokens that carries the end-of-word mark."""
+        line = b" ".join(words.to_pylist()).decode("latin-1")
+        out = np.array(self.of_words.encode_batch_fast([line], add_special_tokens=False)[0].ids, f"<u{self.width}")
+        ends = (np.flatnonzero(self.ends[out]) + 1) * self.width
+        if len(ends) != len(words):
+            return pa.array([self.packed(self.ids(w.decode("latin-1"))) for w in words.to_pylist()], pa.large_binary())
+        return binary(np.append(0, ends), out.tobytes())
+
+    def encode_latin(self, texts: list[str]) -> Iterator[bytes]:
+        """`encode` of Latin-1 texts."""
+        words, upto = latin_words(texts)
+        if not len(words):
+            yield from [b""] * len(texts)
             return
-        self.known.update(zip(words, map(out.tobytes().__getitem__, map(slice, [0, *to], to))))
+        listed = pa.chunked_array([self.words, words]).dictionary_encode().chunks[-1]
+        every, at = listed.dictionary, listed.indices
+        coded = self.coded
+        if len(every) > len(self.words):
+            coded = pa.concat_arrays([coded, self.learned(every.slice(len(self.words)))])
+        taken = coded.take(at)
+        self.remember(every, coded, at.to_numpy())
+        _, ends, data = taken.buffers()
+        ends = np.frombuffer(ends, np.int64, len(taken) + 1)[np.append(0, upto)].tolist()
+        for a, b in zip(ends, ends[1:]):
+            yield data[a:b].to_pybytes()
+
+    def remember(self, words: pa.Array, coded: pa.Array, at: np.ndarray) -> None:
+        """Keep the words, of which the batch has those at the places, within the limits."""
+        self.batches += 1
+        self.met = np.append(self.met, np.full(len(words) - len(self.met), self.batches))
+        self.met[at] = self.batches
+        keep = np.flatnonzero(pc.binary_length(words).to_numpy() <= LONG)
+        if len(keep) > MOST_WORDS:
+            keep = np.sort(keep[np.argsort(-self.met[keep], kind="stable")[: MOST_WORDS // 2]])
+        if len(keep) < len(words):
+            words, coded, self.met = words.take(pa.array(keep)), coded.take(pa.array(keep)), self.met[keep]
+        self.words, self.coded = words, coded
+
+    def encode_chunks(self, cut: list[list[str]]) -> Iterator[bytes]:
+        """Ids of texts cut into chunks."""
+        new = self.chunks.unknown(set().union(*cut))
+        plain = sorted(w for w in new if latin1(w) and LATIN_WORD.fullmatch(w) and w == w.lower())
+        if plain:
+            self.chunks.update(zip(plain, self.learned(pa.array([w.encode("latin-1") for w in plain], pa.large_binary())).to_pylist()))
+        for w in new.difference(plain):
+            self.chunks[w] = self.packed(self.ids(w))
+        for ws in cut:
+            yield b"".join(map(self.chunks.__getitem__, ws))
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """Ids of each text as little-endian unsigned integers of `width` bytes."""
-        cut, plain = [], []
-        for t in texts:
-            if any(a in t for a in self.added):
-                cut.append(None)
-            elif latin1(t):
-                cut.append(LATIN_WORD.findall(t.lower()))
-                plain.append(cut[-1])
-            else:
-                cut.append(CHUNK.findall(t))
-        new = self.known.unknown(set().union(*filter(None, cut)))
-        latin = new if len(plain) == len(texts) else new.intersection(set().union(*plain))
-        latin = latin.union(w for w in new.difference(latin) if latin1(w) and LATIN_WORD.fullmatch(w) and w == w.lower())
-        if latin:
-            self.learn(sorted(latin))
-        for w in new.difference(latin):
-            self.known[w] = self.packed(self.ids(w))
-        for t, ws in zip(texts, cut):
-            yield self.packed(self.ids(t)) if ws is None else b"".join(map(self.known.__getitem__, ws))
+        whole = [any(a in t for a in self.added) for t in texts]
+        plain = [not w and latin1(t) for w, t in zip(whole, texts)]
+        latin = self.encode_latin([t for t, p in zip(texts, plain) if p]) if any(plain) else iter(())
+        cut = self.encode_chunks([CHUNK.findall(t) for t, w, p in zip(texts, whole, plain) if not w and not p])
+        for t, w, p in zip(texts, whole, plain):
+            yield self.packed(self.ids(t)) if w else next(latin if p else cut)
 
 
 def masked(data: bytes) -> int:
@@ -147,7 +233,7 @@ def write_part(batches: Iterator[pa.RecordBatch], folder: str, path: str, end_id
     with filesystem.open_output_stream(f"{name}.rec{mark}") as out, filesystem.open_output_stream(f"{name}.idx{mark}") as index:
         for batch in chain([first], batches):
             own = batch.column(0).to_pylist()
-            for a, texts in slices(batch.column(1)):
+            for a, texts in slices(batch.column(1), ENCODE_ROWS, ENCODE_CHARS):
                 for doc, body_ in zip(own[a:], encoder.encode(texts)):
                     framed = record(OWN.pack(encoder.width << 1 | (doc is not None), doc or 0) + body_ + end)
                     index.write(ENTRY.pack(at, ids))

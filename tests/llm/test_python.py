@@ -149,6 +149,31 @@ def test_token_file_words_take_no_python_step_each():
     assert ids == own.packed(own.ids(" ".join(words))) and calls < len(words)
 
 
+def test_token_file_words_are_no_python_objects():
+    """While a batch is given out, its words aren't held one by one."""
+    own = token_files.WordEncoder(bpe.vocabulary("word_bpe_49k.json"))
+    random.seed(21)
+    text = " ".join(random.choices(["keit", "don't", "Été", "12", "ver-tion"], k=100_000))
+    want = next(own.encode([text]))
+    before, batch = sys.getallocatedblocks(), own.encode([text, text])
+    assert next(batch) == want == own.packed(own.ids(text))
+    assert sys.getallocatedblocks() - before < 10_000
+
+
+def test_token_file_words_are_forgotten_and_learned_again(monkeypatch):
+    """Every Latin-1 letter beside others, with few known words, and words too long to be kept."""
+    for name, n in (("MOST_WORDS", 50), ("LONG", 12), ("LEARN_WORDS", 7)):
+        monkeypatch.setattr(token_files, name, n)
+    own = token_files.WordEncoder(bpe.vocabulary("word_bpe_49k.json"))
+    random.seed(22)
+    letters = [*map(chr, range(256)), *"'' smtdlrve", "'s", "'ll", " "]
+    for _ in range(60):
+        texts = ["".join(random.choices(letters, k=random.randrange(60))) for _ in range(5)] + ["the " * 3, "xyz" * random.randrange(9), "'", "a'", "it'l", "\n", "中 'tis 12a"]
+        random.shuffle(texts)
+        assert list(own.encode(texts)) == [own.packed(own.ids(t)) for t in texts]
+        assert len(own.words) == len(own.coded) == len(own.met) <= 50 and max(map(len, own.words.to_pylist()), default=0) <= 12
+
+
 def test_broken_records_are_found():
     framed = token_files.record(b"payload")
     assert token_files.parse(framed) == (b"payload", len(framed))
